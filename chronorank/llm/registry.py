@@ -1,5 +1,5 @@
 """Queries of the subpackage and their SQL."""
-from chronorank.llm import mixing, secrets, topk
+from chronorank.llm import langid, mixing, secrets, topk
 
 
 def _read(spark, d, t):
@@ -14,12 +14,16 @@ def op3_mixing(spark, d):
     return mixing.mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_langid(spark, d):
+    return langid.predict(_read(spark, d, "documents"))
+
+
 def op10_secrets(spark, d):
     return secrets.scan(_read(spark, d, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op3_mixing, op10_secrets)}
+    return {f.__name__: f for f in (op1_topk, op3_mixing, op5_langid, op10_secrets)}
 
 
 def oracle_sql():
