@@ -1,5 +1,5 @@
 """Queries of the subpackage and their SQL."""
-from chronorank.llm import langid, mixing, secrets, topk
+from chronorank.llm import html_extract, langid, mixing, secrets, topk
 
 
 def _read(spark, d, t):
@@ -10,6 +10,10 @@ def op1_topk(spark, d):
     return topk.search(_read(spark, d, "embeddings"))
 
 
+def op2_html(spark, d):
+    return html_extract.extract(_read(spark, d, "pages"))
+
+
 def op3_mixing(spark, d):
     return mixing.mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,7 +27,7 @@ def op10_secrets(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op3_mixing, op5_langid, op10_secrets)}
+    return {f.__name__: f for f in (op1_topk, op2_html, op3_mixing, op5_langid, op10_secrets)}
 
 
 def oracle_sql():
