@@ -74,4 +74,5 @@ def predict(docs):
             yield pdf[["doc_id", "held_out"]].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out])
 
     held = F.coalesce(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"), F.lit(False))
-    return docs.select(F.col("doc_id"), held.alias("held_out"), "text").mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    out = docs.select(F.col("doc_id").cast("string"), held.alias("held_out"), "text").mapInPandas(score, "doc_id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))  # as text: pandas would round long ids beside nulls
