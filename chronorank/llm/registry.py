@@ -1,5 +1,5 @@
 """Queries of the subpackage and their SQL."""
-from chronorank.llm import html_extract, langid, mixing, secrets, topk
+from chronorank.llm import bpe, html_extract, jaccard, langid, mixing, secrets, topk
 
 
 def _read(spark, d, t):
@@ -22,12 +22,22 @@ def op5_langid(spark, d):
     return langid.predict(_read(spark, d, "documents"))
 
 
+def op7_jaccard(spark, d):
+    return jaccard.join(_read(spark, d, "documents"))
+
+
+def op8_bpe(spark, d):
+    import public_tokenizers
+
+    return bpe.encode(_read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_secrets(spark, d):
     return secrets.scan(_read(spark, d, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_html, op3_mixing, op5_langid, op10_secrets)}
+    return {f.__name__: f for f in (op1_topk, op2_html, op3_mixing, op5_langid, op7_jaccard, op8_bpe, op10_secrets)}
 
 
 def oracle_sql():
