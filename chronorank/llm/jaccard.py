@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from chronorank.llm.shared import components, settled, small
 
-WORDS, SEEDS, RATIO, SLACK = 5, 4, 1.4, 1.05
+WORDS, SEEDS, RATIO, SLACK, BITS, SALTS = 5, 4, 1.4, 1.05, 1024, 64
+WIDE, WIDE_FROM = 16384, 1200  # longer sketches of larger sets
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -93,9 +94,10 @@ def _sets(batches):
         rows = []
         for t in pdf["text"]:
             s = shingles(t)
-            rows.append((len(s), int(_scramble(s, 0).sum().view(np.int64)), int(_scramble(s, 3).sum().view(np.int64))))
-        n, a, b = zip(*rows) if rows else ((), (), ())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array(n, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            sketch = [np.packbits(np.bincount((_scramble(s, 3) % np.uint64(m)).astype(np.int64), minlength=m) & 1).view(np.int64) if m == BITS or len(s) >= WIDE_FROM else None for m in (BITS, WIDE)]
+            rows.append((len(s), int(_scramble(s, 0).sum().view(np.int64)), int(_scramble(s, 3).sum().view(np.int64)), *sketch))
+        n, a, b, k, w = zip(*rows) if rows else ((), (), (), (), ())
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array(n, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64), "sketch": list(k), "wide": list(w)})
 
 
 def _parts(batches):
@@ -115,27 +117,33 @@ def _parts(batches):
             yield pd.DataFrame({"s": np.concatenate(sigs).view(np.int64), "rep": np.concatenate(ids).astype(np.int64)})
 
 
-def _shingled(batches):
-    for pdf in batches:
-        yield pdf[["doc_id"]].assign(set=[shingles(t).view(np.int64) for t in pdf["text"]])
-
-
 def _linked(batches):
+    """Rows come sorted by (a, salt), the pivot's own text first."""
+    import pandas as pd
+
+    key, mine = None, None
     for pdf in batches:
-        ok = []
-        for x, y in zip(pdf["set_a"], pdf["set_b"]):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+        out = []
+        for a, salt, b, t in zip(pdf["a"], pdf["salt"], pdf["b"], pdf["text"]):
+            if (a, salt) != key:
+                key, mine = (a, salt), shingles(t)
+                continue
+            s = shingles(t)
+            both = len(np.intersect1d(mine, s, assume_unique=True))
+            if 100 * both >= 80 * (len(mine) + len(s) - both):
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _verify(pairs, texts):
-    """The pairs (a, b) that link."""
-    pairs = settled(pairs.distinct())
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settled(texts.join(small(members), "doc_id", "left_semi").mapInPandas(_shingled, "doc_id long, set array<long>"))
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_linked, "a long, b long")
+def _verify(pairs, texts, sets):
+    """The pairs (a, b) that link: the sizes and the Hamming distance of whole sketches sort out, the texts decide."""
+    of = {c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"k_{c}"), F.col("wide").alias(f"w_{c}")) for c in "ab"}
+    near = lambda k: 9 * F.aggregate(F.zip_with(f"{k}_a", f"{k}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) <= F.col("n_a") + F.col("n_b")
+    pairs = pairs.distinct().join(of["a"], "a").join(of["b"], "b").where(F.expr("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)") & near("k") & F.coalesce(near("w"), F.lit(True)))
+    pairs = settled(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")))
+    own = pairs.select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("turn")).distinct()
+    rows = small(own.union(pairs.select("a", "salt", "b", F.lit(1)))).join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "turn", "b", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").select("a", "salt", "b", "text").mapInPandas(_linked, "a long, b long")
 
 
 def join(docs):
@@ -143,18 +151,19 @@ def join(docs):
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     none = texts.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     texts = texts.where("doc_id is not null")
-    sets = settled(texts.mapInPandas(_sets, "doc_id long, n long, a long, b long"))
+    sets = settled(texts.mapInPandas(_sets, "doc_id long, n long, a long, b long, sketch array<long>, wide array<long>"))
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
     # every bucket is salted for the copies' way to their class: a class may hold a third of all rows
     salts = 16
-    member = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(classes.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["n", "a", "b", "salt"], "left")
+    member = sets.drop("sketch", "wide").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(classes.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["n", "a", "b", "salt"], "left")
     member = settled(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     copies = member.where("doc_id <> rep or n < 4").select("doc_id").distinct()
     one = texts.dropDuplicates(["doc_id"]) if sets.groupBy("doc_id").count().where("count > 1").limit(1).count() else texts
     one = one.join(small(copies), "doc_id", "left_anti")
     parts = one.mapInPandas(_parts, "s long, rep long")
     parts = settled(parts.withColumn("pivot", F.expr("min(rep) over (partition by s)")).where("rep <> pivot"))
-    near = settled(_verify(parts.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one))
+    sketches = sets.select("doc_id", "n", "sketch", "wide").dropDuplicates(["doc_id"])
+    near = settled(_verify(parts.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one, sketches))
     comp = settled(components(near))
     # what a bucket's first member has not joined: pairs of its members in different components
     inside = parts.select("s", F.col("rep").alias("x")).union(parts.select("s", F.col("pivot").alias("x")).distinct())
@@ -163,7 +172,7 @@ def join(docs):
     other = mixed.select("s", F.col("x").alias("y"), F.col("c").alias("e"))
     tried = parts.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     rest = mixed.join(other, "s").where("c <> e and x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    far = _verify(rest, one)
+    far = _verify(rest, one, sketches)
     comp = settled(components(near.union(far)))
     out = member.join(comp, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).unionByName(none)

@@ -1,5 +1,5 @@
 """Queries of the subpackage and their SQL."""
-from chronorank.llm import bpe, html_extract, jaccard, langid, mixing, secrets, topk
+from chronorank.llm import ann, bpe, html_extract, jaccard, langid, mixing, secrets, topk, toxicity, warc
 
 
 def _read(spark, d, t):
@@ -18,10 +18,18 @@ def op3_mixing(spark, d):
     return mixing.mix(_read(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark, d):
+    return toxicity.score(_read(spark, d, "documents"), _read(spark, d, "labels"))
+
+
 def op5_langid(spark, d):
     return langid.predict(_read(spark, d, "documents"))
 
 
+def op6_ann(spark, d):
+    return ann.search(_read(spark, d, "embeddings"))
+
+
 def op7_jaccard(spark, d):
     return jaccard.join(_read(spark, d, "documents"))
 
@@ -32,12 +40,16 @@ def op8_bpe(spark, d):
     return bpe.encode(_read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_warc(spark, d):
+    return warc.roundtrip(_read(spark, d, "pages"))
+
+
 def op10_secrets(spark, d):
     return secrets.scan(_read(spark, d, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_topk, op2_html, op3_mixing, op5_langid, op7_jaccard, op8_bpe, op10_secrets)}
+    return {f.__name__: f for f in (op1_topk, op2_html, op3_mixing, op4_toxicity, op5_langid, op6_ann, op7_jaccard, op8_bpe, op9_warc, op10_secrets)}
 
 
 def oracle_sql():
