@@ -38,3 +38,25 @@ def scan(docs, examples_from=2):
     text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return both.unionByName(clean).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"), "n_live", "n_example")
+
+
+def redact(docs, examples_from=2, mark="[SECRET]"):
+    """docs with every candidate held by fewer than examples_from owners cut out of the text; n_chars follows.
+
+    All rows and columns stay; texts without a live candidate (null ones too) are returned as they are."""
+    spans = F.array_sort(F.concat(*[_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)]))
+    d = docs.select(*docs.columns, F.coalesce("text", F.lit("")).alias("t")).select(*docs.columns, "t", spans.alias("s"))
+    hit = d.where("size(s) > 0")
+    each = hit.select("doc_id", "source", F.explode(F.array_distinct(F.transform("s", lambda y: F.sha2(y["v"], 256)))).alias("h")).distinct()
+    owners = each.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") < examples_from)
+    live = each.join(owners, "h").groupBy("doc_id", "source").agg(F.collect_set("h").alias("live")).withColumnsRenamed({"doc_id": "d2", "source": "o2"})
+    both = hit.join(live, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("o2")), "left")
+    cut = F.filter("s", lambda y: F.array_contains("live", F.sha2(y["v"], 256)))
+    step = lambda acc, y: F.when(
+        y["start"] >= acc["at"], F.struct(y["end"].alias("at"), F.concat(acc["out"], F.col("t").substr(acc["at"] + 1, y["start"] - acc["at"]), F.lit(mark)).alias("out"))
+    ).otherwise(F.struct(F.greatest(acc["at"], y["end"]).alias("at"), acc["out"].alias("out")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.aggregate(cut, zero, step, lambda acc: F.concat(acc["out"], F.col("t").substr(acc["at"] + 1, F.length("t"))))
+    changed = both.withColumn("text", F.when(F.col("live").isNotNull(), text).otherwise(F.col("text")))
+    changed = changed.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else changed
+    return changed.select(*docs.columns).unionByName(d.where("size(s) = 0").select(*docs.columns))

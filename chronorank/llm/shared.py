@@ -24,6 +24,12 @@ def settled(df):
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def guarded(docs, uses, change):
+    """change(docs) with the columns that it does not use under names that cannot clash; the same columns come back."""
+    away = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in uses}
+    return change(docs.withColumnsRenamed(away)).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+
+
 def small(df):
     """df, marked for broadcast if it has at most BROADCAST_ROWS rows of ids."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

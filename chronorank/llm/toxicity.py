@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are a lexicon of insults, patterns of abuse, and words that the learnable labels show to be telling. A generative
+Voters are a lexicon of insults, patterns of abuse, and words or word beginnings, occurring so often at least, that the
+learnable labels show to be telling. A generative
 label model with two classes estimates each voter's accuracies by expectation maximisation, started from the labels;
 voters that agree more than their accuracies explain share their weight (correlations). A linear classifier is trained on
 the posterior labels over the votes and the telling words, and scores every whole text.
@@ -9,11 +10,13 @@ Learns from labelled documents with crc32(doc_id) mod 3 other than 1, at most SA
 are scored like a text without votes; repeated rows give repeated results; without learnable rows the lexicon alone
 decides; an empty table gives no rows; other columns are ignored."""
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-SAMPLE, TELLING, LEAST = 40_000, 256, 5
+SAMPLE, TELLING, LEAST, CACHE = 20_000, 256, 5, 1 << 18
+STEMS, TIMES = (5, 7), (1, 2, 4)
 # Common insults.
 INSULTS = """idiot idiots idiotic moron morons moronic stupid dumb dumbass fool imbecile cretin loser losers clown clowns trash garbage
 scum filth filthy vermin worthless pathetic disgusting disgrace repulsive vile pig swine rat ugly freak creep jerk bastard bitch
@@ -31,35 +34,62 @@ def _learnable(docs, labels):
     return docs.join(labels.selectExpr("cast(doc_id as long) as doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
 
 
+def parts(word):
+    """What a word counts for: itself and its beginnings."""
+    return {word} | {"^" + word[:n] for n in STEMS if len(word) >= n}
+
+
 class Voters:
+    """One voter for each insult, pattern, and telling part that occurs at least so often."""
+
     def __init__(self, telling=()):
-        self.telling = list(telling)
-        self.words = {w: i for i, w in enumerate(dict.fromkeys([*INSULTS, *self.telling]))}
+        self.telling, self.at, self.cache = list(telling), {w: [(1, i)] for i, w in enumerate(INSULTS)}, {}
+        for i, (w, least) in enumerate(self.telling):
+            self.at.setdefault(w, []).append((least, len(INSULTS) + i))
         self.patterns = [re.compile(p) for p in PATTERNS]
-        self.n = len(self.words) + len(self.patterns)
+        self.n = len(INSULTS) + len(self.telling) + len(self.patterns)
 
     def votes(self, text):
         """Places of the voters that speak for toxic."""
-        low = (text or "").lower()
-        got = [self.words[w] for w in self.words.keys() & set(WORD.findall(low))]
-        return got + [len(self.words) + i for i, p in enumerate(self.patterns) if p.search(low)]
+        low, seen = (text or "").lower(), Counter()
+        for w, n in Counter(WORD.findall(low)).items():
+            known = self.cache.get(w)
+            if known is None:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                known = self.cache[w] = tuple(p for p in parts(w) if p in self.at)
+            for p in known:
+                seen[p] += n
+        got = [i for p, n in seen.items() for least, i in self.at[p] if n >= least]
+        return got + [self.n - len(self.patterns) + i for i, p in enumerate(self.patterns) if p.search(low)]
 
 
 def telling(texts, y):
-    """Words of more than one letter that labelled toxic texts hold more often, by a z-score of log odds."""
+    """(part, least count) that labelled toxic texts reach more often, by a z-score of log odds."""
     count = {}
     for t, c in zip(texts, y):
-        for w in set(WORD.findall((t or "").lower())):
-            count.setdefault(w, [0, 0])[c] += 1
+        seen = Counter()
+        for w, n in Counter(WORD.findall((t or "").lower())).items():
+            for p in parts(w):
+                seen[p] += n
+        for p, n in seen.items():
+            for least in TIMES:
+                if n >= least:
+                    count.setdefault((p, least), [0, 0])[c] += 1
     n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
     z = {}
     for w, (a, b) in count.items():
-        if b + a >= LEAST and len(w) > 1:
+        if b >= LEAST and len(w[0]) > 1:
             z[w] = (np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) / np.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-    return [w for w in sorted(z, key=lambda w: (-z[w], w))[:TELLING] if z[w] > 3]
+    out, same = [], set()
+    for w in sorted(z, key=lambda w: (-z[w], w)):  # of parts with equal counts, one
+        if z[w] > 3 and len(out) < TELLING and (w[0][:5], *count[w]) not in same:
+            same.add((w[0][:5], *count[w]))
+            out.append(w)
+    return out
 
 
-def label_model(v, y, rounds=25, held=4.0):
+def label_model(v, y, rounds=25, held=5.0, bound=3.0):
     """Posterior of class 1 for each row of votes; the labels count as one more voter with log odds of held."""
     n, m = v.shape
     p, weight = np.where(y == 1, 0.9, 0.1).astype(float), np.ones(m)
@@ -75,12 +105,13 @@ def label_model(v, y, rounds=25, held=4.0):
             excess += (d.T @ d) / s[:, None] / s / 2
         weight = 1 / np.clip(np.where(np.abs(excess) > 0.2, np.abs(excess), 0).sum(0), 1, None)
         one, none = np.log(a / b) * weight, np.log((1 - a) / (1 - b)) * weight
-        s = np.log(prior / (1 - prior)) + v @ one + (1 - v) @ none + np.where(y == 1, held, -held)
+        said = np.clip(v @ one + (1 - v) @ none, -bound, bound)  # voters may doubt a label, not overrule it
+        s = np.log(prior / (1 - prior)) / 2 + said + np.where(y == 1, held, -held)
         p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
     return p
 
 
-def train(v, p, rounds=400, l2=1e-3, step=1.0):
+def train(v, p, rounds=800, l2=3e-4, step=0.5):
     """Weights and bias of a logistic regression on soft labels (full batches, momentum)."""
     w, b, mw, mb = np.zeros(v.shape[1]), 0.0, 0.0, 0.0
     balance = np.where(p > 0.5, min(10.0, max(1.0, (1 - p).sum() / max(p.sum(), 1))) ** 0.5, 1.0)
