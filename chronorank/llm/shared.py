@@ -27,7 +27,8 @@ def settled(df):
 def guarded(docs, uses, change):
     """change(docs) with the columns that it does not use under names that cannot clash; the same columns come back."""
     away = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in uses}
-    return change(docs.withColumnsRenamed(away)).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+    out = change(docs.withColumnsRenamed(away))
+    return out.select(*[out[away.get(c, c)].alias(c) for c in docs.columns])
 
 
 def small(df):
