@@ -1,14 +1,15 @@
 """Query catalogue: each plan is declared once in SQL that both Spark and the test oracle accept."""
+import re
 from functools import partial
 
 from chronorank.sources.tables import DUCK_TIME, EDGES, SPARK_TIME, run
 
-# Queries: every 50th edge in canonical order, with 10 arithmetic candidates besides the positive.
+# Queries: every edge, with 9 arithmetic candidates besides the positive; pos is part of a candidate's identity.
 ORD = "ord as (select *, row_number() over (partition by src order by t, dst, k1, k2, k3) as o from edges)"
-CAND = """q as (select k1 * 100000000 + k2 * 10000000 + dst * 1000 + k3 as qid, src, dst, t from edges where (k1 * 7 + k2 + dst) % 50 = 0),
- qq as (select qid, min(src) as src, min(dst) as pos_dst, min(t) as t from q group by qid),
+CAND = """top as (select max(dst) as m from edges),
+ qq as (select distinct concat_ws('-', k1, k2, dst, k3) as qid, k1 * 31 + k2 * 7 + dst + k3 as h, src, dst as pos_dst, t from edges),
  slots as (select 0 as pos union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9),
- cand as (select qid, src, t, pos, case when pos = 0 then pos_dst else (qid * 7919 + pos * 104729 + 31) % 2000 end as c, case when pos = 0 then 1 else 0 end as y from qq cross join slots),
+ cand as (select qid, src, t, pos, case when pos = 0 then pos_dst else (h * 7919 + pos * 104729 + 31) % (m + 1) end as c, case when pos = 0 then 1 else 0 end as y from qq cross join slots cross join top),
  cnt as (select dst, count(*) as n from edges group by dst),
  sc as (select qid, pos, c, y, coalesce(n, 0) as s from cand left join cnt on c = cnt.dst)"""
 
@@ -30,7 +31,7 @@ PLANS = {
     "src_recent_exact": (ORD, "select src, dst, round(1 / sqrt(min(rk)), 6) as w from (select src, dst, row_number() over (partition by src order by o desc) as rk from ord) x where rk <= 160 group by src, dst"),
     "transition_topk": (ORD, "select a, b, round(w, 6) as w, cast(rk as bigint) as rk from (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as rk from (select x.dst as a, y.dst as b, sum(1 / sqrt(y.o - x.o)) as w from ord x join ord y on x.src = y.src and y.o - x.o between 1 and 4 and x.dst <> y.dst group by x.dst, y.dst) z) v where rk <= 20"),
     "cooc_exact": ("d as (select distinct src, dst from edges)", "select x.dst as a, y.dst as b, count(*) as n from d x join d y on x.src = y.src and x.dst < y.dst group by x.dst, y.dst having count(*) >= 2"),
-    "mrr_three_rules": (CAND, "select round(avg(1 / (1 + g + 0.5 * e)), 6) as mrr_half, round(avg(1.0 / (1 + g + e)), 6) as mrr_pessimistic, round(avg(1.0 / (1 + g)), 6) as mrr_strict, count(*) as n from (select p.qid, cast(sum(case when x.s > p.s then 1 else 0 end) as double) as g, cast(sum(case when x.s = p.s and x.pos > 0 then 1 else 0 end) as double) as e from sc p join sc x on p.qid = x.qid where p.pos = 0 group by p.qid) z"),
+    "mrr_three_rules": (CAND, "select round(avg(1 / (1 + g + 0.5 * e)), 6) as mrr_half, round(avg(1e0 / (1 + g + e)), 6) as mrr_pessimistic, round(avg(1e0 / (1 + g)), 6) as mrr_strict, count(*) as n from (select qid, cast(sum(case when s > p then 1 else 0 end) as double) as g, cast(sum(case when s = p and pos > 0 then 1 else 0 end) as double) as e from (select *, max(case when pos = 0 then s end) over (partition by qid) as p from sc) x group by qid) z"),
     "rank_competition": (CAND, "select qid, pos, round(1.0 / rank() over (partition by qid order by s desc), 6) as r from sc"),
     "rank_percentile_col": (CAND, "select qid, pos, round(row_number() over (partition by qid order by s, pos) / 10.0, 6) as r from sc"),
     "rank_percentile_id": (CAND, "select qid, pos, round(row_number() over (partition by qid order by s, c, pos) / 10.0, 6) as r from sc"),
@@ -41,12 +42,20 @@ PLANS = {
 }
 
 
+from chronorank.plans import blocks  # noqa: E402  (its plans build on the names above)
+
+PLANS |= blocks.plans(CAND, ORD)
+
+
 def text(name: str, spark: bool) -> str:
     head, body = PLANS[name]
-    p = "percentile(t, {})" if spark else "quantile_cont(t, {})"
+    p = "percentile({}, {})" if spark else "quantile_cont({}, {})"
     edges = EDGES.format(time=SPARK_TIME if spark else DUCK_TIME)
-    head = head.replace("{pct60}", p.format(0.60)).replace("{pct82}", p.format(0.82))
-    return f"with {edges}{', ' + head if head else ''} {body}"
+    series = "explode(sequence(cast(1 as bigint), {}))" if spark else "unnest(generate_series(1, {}))"
+    both = f"with {edges}{', ' + head if head else ''} {body}"
+    both = both.replace("{pct60}", p.format("t", 0.60)).replace("{pct82}", p.format("t", 0.82))
+    both = re.sub(r"\{pct (\w+) ([\d.]+)\}", lambda m: p.format(m[1], m[2]), both)
+    return re.sub(r"\{series (\w+)\}", lambda m: series.format(m[1]), both)
 
 
 def queries() -> dict:
