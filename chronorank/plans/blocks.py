@@ -25,8 +25,8 @@ FIT = """mx as (select min(t) as tmin, max(t) as tmax, {pct60} as c60, {pct82} a
   case when s > 0 then 1 else 0 end as known, round(ln(1 + tn) / lt, 9) as test_seen, round(ln(1 + n3) / l3, 9) as pop_3h, round(ln(1 + n12) / l12, 9) as pop_12h, round(greatest(-5, least(5, ln(1 + n3) - ln(1 + n12 / 4e0))) / 5, 9) as trend_3h_12h, case when pn > 0 then 1 else 0 end as pair_seen
   from fx cross join mx cross join sm cross join sp cross join st)"""
 
-# Steps up to 16 apart in one source's history, weighted by distance; at most 40 successors each.
-STEP = """step as (select a, b, w from (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as rk from (select x.dst as a, y.dst as b, sum(1 / sqrt(y.o - x.o)) as w from ord x join ord y on x.src = y.src and y.o - x.o between 1 and 16 and x.dst <> y.dst group by x.dst, y.dst) z) v where rk <= 40),
+# Steps up to 16 apart in one source's history, weighted by distance; at most 256 successors each.
+STEP = """step as (select a, b, w from (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as rk from (select x.dst as a, y.dst as b, sum(1 / sqrt(y.o - x.o)) as w from ord x join ord y on x.src = y.src and y.o - x.o between 1 and 16 and x.dst <> y.dst group by x.dst, y.dst) z) v where rk <= 256),
  late as (select src, dst, rk from (select src, dst, row_number() over (partition by src order by o desc) as rk from ord) x where rk <= 16),
  want as (select distinct src, c from cand),
  fwd as (select l.src, s.b as c, sum(s.w / sqrt(l.rk)) as w from late l join step s on l.dst = s.a group by l.src, s.b),

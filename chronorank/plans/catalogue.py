@@ -29,7 +29,7 @@ PLANS = {
     "history_last_n": (ORD, "select src, dst, t, cast(rk as bigint) as rk from (select src, dst, t, row_number() over (partition by src order by o desc) as rk from ord) x where rk <= 16"),
     "gap_per_src": (ORD, "select src, cast(o as bigint) as o, t - lag(t) over (partition by src order by o) as gap from ord"),
     "src_recent_exact": (ORD, "select src, dst, round(1 / sqrt(min(rk)), 6) as w from (select src, dst, row_number() over (partition by src order by o desc) as rk from ord) x where rk <= 160 group by src, dst"),
-    "transition_topk": (ORD, "select a, b, round(w, 6) as w, cast(rk as bigint) as rk from (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as rk from (select x.dst as a, y.dst as b, sum(1 / sqrt(y.o - x.o)) as w from ord x join ord y on x.src = y.src and y.o - x.o between 1 and 4 and x.dst <> y.dst group by x.dst, y.dst) z) v where rk <= 20"),
+    "transition_topk": (ORD, "select a, b, round(w, 6) as w, cast(rk as bigint) as rk from (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as rk from (select x.dst as a, y.dst as b, sum(1 / sqrt(y.o - x.o)) as w from ord x join ord y on x.src = y.src and y.o - x.o between 1 and 16 and x.dst <> y.dst group by x.dst, y.dst) z) v where rk <= 256"),
     "cooc_exact": ("d as (select distinct src, dst from edges)", "select x.dst as a, y.dst as b, count(*) as n from d x join d y on x.src = y.src and x.dst < y.dst group by x.dst, y.dst having count(*) >= 2"),
     "mrr_three_rules": (CAND, "select round(avg(1 / (1 + g + 0.5 * e)), 6) as mrr_half, round(avg(1e0 / (1 + g + e)), 6) as mrr_pessimistic, round(avg(1e0 / (1 + g)), 6) as mrr_strict, count(*) as n from (select qid, cast(sum(case when s > p then 1 else 0 end) as double) as g, cast(sum(case when s = p and pos > 0 then 1 else 0 end) as double) as e from (select *, max(case when pos = 0 then s end) over (partition by qid) as p from sc) x group by qid) z"),
     "rank_competition": (CAND, "select qid, pos, round(1.0 / rank() over (partition by qid order by s desc), 6) as r from sc"),
