@@ -1,10 +1,17 @@
 """Secret scans with corpus-wide ownership frequency; DataFrame functions only.
 
 Matches per kind are leftmost and do not overlap; positions come from the lengths of the pieces between matches.
-A candidate's hash is counted over the corpus by distinct owners (sources): seen with several owners it is a copied
-example, with one it looks live. Null texts count as empty; an empty table gives no rows; other columns are ignored."""
+A candidate's hash is counted over the corpus by distinct texts, by what stands around it, and by distinct owners (sources).
+Its spread is the number of texts that hold it, divided by how many of them share the commonest surroundings on the left or on
+the right: copies of a document or passage add nothing to it. A value spread widely over several owners, or very widely over one,
+is an example; any other looks live. Null texts count as empty; an empty table gives no rows; other columns are ignored."""
 from pyspark.sql import functions as F
 
+from chronorank.llm.shared import settled
+
+# Characters on each side that are a value's surroundings, and the least spread of an example over several owners and over one.
+AROUND, SPREAD, ALONE = 40, 8, 64
+
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = (("assign", ASSIGN, 1, 8), ("access", r"(AKIA[A-Z0-9]+)", 1, 16), ("hex", r"([0-9a-f]{32,})", 1, 32))
 
@@ -24,33 +31,52 @@ def _spans(kind, rank, pattern, group, least):
     return F.when(F.col("t").rlike(pattern), F.aggregate(found, zero, step, lambda a: a["out"])).otherwise(none)
 
 
+def _values(hit):
+    """hit with its distinct values: hash and surroundings, hashed, on both sides."""
+    plain = lambda x: F.xxhash64(F.lower(F.regexp_replace(x, r"\s+", " ")))
+    one = lambda y: F.struct(
+        F.sha2(y["v"], 256).alias("h"),
+        plain(F.col("t").substr(F.greatest(y["start"] - AROUND, F.lit(0)) + 1, F.least(y["start"], F.lit(AROUND)))).alias("left"),
+        plain(F.col("t").substr(y["end"] + 1, F.lit(AROUND))).alias("right"),
+    )
+    return hit.withColumn("_values", F.array_distinct(F.transform("s", one)))
+
+
+def _examples(hit, examples_from):
+    """Hashes of the values that are examples."""
+    each = hit.select("source", F.xxhash64("t").alias("x"), F.explode("_values").alias("y")).select("source", "x", "y.*")
+    texts = each.groupBy("h", "x").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+    top = lambda side: texts.groupBy("h", side).agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max("n").alias(f"top_{side}"), F.sum("n").alias(f"n_{side}"))
+    owners = each.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
+    spread = F.col("n_left") / F.greatest("top_left", "top_right")
+    wide = top("left").where(F.col("n_left") >= SPREAD).join(top("right"), "h").join(owners, "h")
+    return wide.where((spread >= SPREAD) & (F.col("owners") >= examples_from) | (spread >= ALONE)).select("h", F.lit(True).alias("example"))
+
+
 def scan(docs, examples_from=2):
-    """doc_id, counts, base_sha256, spans, n_live and n_example (candidates by ownership)."""
+    """doc_id, counts, base_sha256, spans, n_live and n_example (candidates by ownership and spread)."""
     spans = F.array_sort(F.concat(*[_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)]))
-    d = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "source", spans.alias("s"))
+    d = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "source", "t", spans.alias("s"))
     clean = d.where("size(s) = 0").select("doc_id", "s", F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    hit = d.where("size(s) > 0")
-    each = lambda x: x.select("doc_id", "source", "s", F.explode(F.array_distinct(F.transform("s", lambda y: F.sha2(y["v"], 256)))).alias("h"))
-    owners = each(hit).select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
-    live = each(hit).distinct().join(owners, "h").groupBy("doc_id", "source", "s").agg(F.count_if(F.col("owners") < examples_from).alias("n_live"), F.count_if(F.col("owners") >= examples_from).alias("n_example"))
-    live = live.select(F.col("doc_id").alias("d2"), F.col("source").alias("o2"), F.col("s").alias("s2"), "n_live", "n_example")
-    both = hit.join(live, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("o2")) & (F.col("s") == F.col("s2"))).select("doc_id", "s", "n_live", "n_example")
+    hit = settled(_values(d.where("size(s) > 0")).withColumn("row", F.monotonically_increasing_id()))
+    each = hit.select("row", F.explode(F.array_distinct(F.transform("_values", lambda y: y["h"]))).alias("h"))
+    judged = each.join(_examples(hit, examples_from), "h", "left").groupBy("row").agg(F.count_if(F.col("example").isNull()).alias("n_live"), F.count("example").alias("n_example"))
+    both = hit.join(judged, "row").select("doc_id", "s", "n_live", "n_example")
     text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return both.unionByName(clean).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"), "n_live", "n_example")
 
 
 def redact(docs, examples_from=2, mark="[SECRET]"):
-    """docs with every candidate held by fewer than examples_from owners cut out of the text; n_chars follows.
+    """docs with every candidate that is not clearly an example cut out of the text; n_chars follows.
 
     All rows and columns stay; texts without a live candidate (null ones too) are returned as they are."""
     spans = F.array_sort(F.concat(*[_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)]))
     d = docs.select(*docs.columns, F.coalesce("text", F.lit("")).alias("t")).select(*docs.columns, "t", spans.alias("s"))
-    hit = d.where("size(s) > 0")
-    each = hit.select("doc_id", "source", F.explode(F.array_distinct(F.transform("s", lambda y: F.sha2(y["v"], 256)))).alias("h")).distinct()
-    owners = each.select("h", "source").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where(F.col("owners") < examples_from)
-    live = each.join(owners, "h").groupBy("doc_id", "source").agg(F.collect_set("h").alias("live")).withColumnsRenamed({"doc_id": "d2", "source": "o2"})
-    both = hit.join(live, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("o2")), "left")
+    hit = settled(_values(d.where("size(s) > 0")).withColumn("_row", F.monotonically_increasing_id()))
+    each = hit.select("_row", F.explode(F.array_distinct(F.transform("_values", lambda y: y["h"]))).alias("h"))
+    live = each.join(_examples(hit, examples_from), "h", "left_anti").groupBy("_row").agg(F.collect_set("h").alias("live"))
+    both = hit.join(live, "_row", "left")
     cut = F.filter("s", lambda y: F.array_contains("live", F.sha2(y["v"], 256)))
     step = lambda acc, y: F.when(
         y["start"] >= acc["at"], F.struct(y["end"].alias("at"), F.concat(acc["out"], F.col("t").substr(acc["at"] + 1, y["start"] - acc["at"]), F.lit(mark)).alias("out"))
