@@ -43,6 +43,12 @@ PROBE = """ask as (select qid, pos, src, c, t from cand),
  ps as (select src as k, t as ts0, qid, 0 as e from qq union all select src, t, null, 1 from edges where t > 0),
  gs as (select * from (select qid, e, max(case when e = 1 then ts0 end) over (partition by k order by ts0 range between unbounded preceding and 1 preceding) as last_s from ps) x where e = 0)"""
 
+# Every (source, candidate), seen or not: how the candidate co-occurs with each item of the source's distinct history.
+CF = """d as (select distinct src, dst from edges), g as (select dst, count(*) as g from d group by dst), hl as (select src, count(*) as len from d group by src),
+ co as (select x.dst as a, y.dst as b, count(*) as n from d x join d y on x.src = y.src and x.dst <> y.dst group by x.dst, y.dst),
+ pairs as (select distinct src, c from cand),
+ cf as (select p.src, p.c, cast(sum(n) as bigint) as raw, sum(n / sqrt(ga.g * gb.g)) as cos, count(*) as hit, max(n) as top from pairs p join d h on p.src = h.src join co on co.a = h.dst and co.b = p.c join g ga on ga.dst = h.dst join g gb on gb.dst = p.c group by p.src, p.c)"""
+
 TWO = "two as (select qid, pos, c, y, src, pair_seen, pop as x1, recent_pop as x2, row_number() over (partition by qid order by pop, pos) / 10e0 as p1, row_number() over (partition by qid order by recent_pop, pos) / 10e0 as p2, row_number() over (partition by qid order by pop desc, pos) as d1, row_number() over (partition by qid order by recent_pop desc, pos) as d2 from f)"
 PROB = """raw as (select qid, pos, exp(cast(s - max(s) over (partition by qid) as double)) as e from sc), near as (select qid, pos, round(e / sum(e) over (partition by qid), 8) as p from raw),
  first_best as (select *, row_number() over (partition by qid order by p desc, pos) as k, sum(p) over (partition by qid) as total from near), prob as (select qid, pos, round(greatest(0, least(1, case when k = 1 then p + 1 - total else p end)), 8) as p from first_best)"""
@@ -73,7 +79,7 @@ def plans(cand, ord_):
         "transition_scores": (f"{cand}, {ord_}, {STEP}", "select src, c, round(fw, 6) as transition, round(fw + bw, 6) as symmetric_cooc from tr"),
         "rule_scores": (f"{base}, {STEP}", f"select qid, pos, {rule(RULE_A, 'pop')} as rule_a, {rule(RULE_B, f'least(pop, {POP_CAP})')} as rule_b from f join tr on f.src = tr.src and f.c = tr.c"),
         "recency_block": (rec, f"select ask.qid, ask.pos, {col('round(ln(1 + n30), 6)', 'cnt30')}, {col('round(ln(1 + n7), 6)', 'cnt7')}, {col('round(ln(n7 + 0.5e0 + 1) - ln(n30 + 0.5e0 + 1), 6)', 'burst')}, {col(gap('last_d'), 'gap_dst')}, {col(gap('last_p'), 'gap_pair')}, {col(gap('last_s'), 'gap_src')} from ask join gd on ask.qid = gd.qid and ask.pos = gd.pos join gp on ask.qid = gp.qid and ask.pos = gp.pos join gs on ask.qid = gs.qid"),
-        "cf_pair_block": ("d as (select distinct src, dst from edges), g as (select dst, count(*) as g from d group by dst), hl as (select src, count(*) as len from d group by src), co as (select x.dst as a, y.dst as b, count(*) as n from d x join d y on x.src = y.src and x.dst <> y.dst group by x.dst, y.dst)", "select x.src, x.dst, round(ln(1 + sum(n)), 6) as cooc_sum, round(ln(1 + sum(n / sqrt(ga.g * gb.g))), 6) as cooc_cos, round(count(*) / cast(max(len) as double), 6) as coverage, round(ln(1 + max(n)), 6) as cooc_max, round(ln(1 + max(len)), 6) as hist_len from d x join d h on x.src = h.src and x.dst <> h.dst join co on co.a = h.dst and co.b = x.dst join g ga on ga.dst = h.dst join g gb on gb.dst = x.dst join hl on hl.src = x.src group by x.src, x.dst"),
+        "cf_pair_block": (f"{cand}, {CF}", "select cand.qid, cand.pos, coalesce(round(ln(1 + raw), 6), 0) as cooc_sum, coalesce(round(ln(1 + cos), 6), 0) as cooc_cos, coalesce(round(hit / cast(len as double), 6), 0) as coverage, coalesce(round(ln(1 + top), 6), 0) as cooc_max, coalesce(round(ln(1 + len), 6), 0) as hist_len from cand left join hl on cand.src = hl.src left join cf on cand.src = cf.src and cand.c = cf.c"),
         "cooc_capped_topk": (f"{ord_}, l as (select src, dst, row_number() over (partition by src order by max(o) desc) as rk from ord group by src, dst), k as (select src, dst from l where rk <= 64)", "select a, b, n, round(ln(1 + n) / max(ln(1 + n)) over (partition by a), 6) as w, cast(rk as bigint) as rk from (select *, row_number() over (partition by a order by n desc, b) as rk from (select x.dst as a, y.dst as b, count(*) as n from k x join k y on x.src = y.src and x.dst <> y.dst group by x.dst, y.dst having count(*) >= 2) z) v where rk <= 128"),
         "degree_heuristics": ("", "select dst, round(n / cast(max(n) over () as double), 6) as popularity, round(d / cast(max(d) over () as double), 6) as degree from (select dst, count(*) as n, count(distinct src) as d from edges group by dst) x"),
         "edge_count_scaled": ("pr as (select src, dst, count(*) as n from edges group by src, dst), top as (select max(n) as m from pr)", "select src, dst, round(n / cast(m as double), 6) as edge_count from pr cross join top"),
