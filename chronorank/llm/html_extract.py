@@ -2,7 +2,9 @@
 
 Each page's containers are scored (text of their own blocks less the text of links); the best one votes with its
 generalised tag-class path (digits removed) for its host; the winner by votes, then score, then path is extracted anew
-from each page of the host, or the page's own best container where it lacks that path. Null or empty html gives an
+from each page of the host, or the page's own best container where it lacks that path. Blocks inside noise (by tag or by words of
+class and id) are marked, not cut: a mark does not count on an element that holds more than half of a page's text without links,
+nor on the container taken or what is around it, and where only marked blocks are left they are taken. Null or empty html gives an
 empty text; an empty table gives no rows; repeated rows are extracted alike; whole pages are read."""
 import re
 from html.parser import HTMLParser
@@ -10,27 +12,40 @@ from html.parser import HTMLParser
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-DROP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "button", "select", "textarea", "svg", "head", "menu", "dialog"}
+# Never text; and noise unless the page's text lies there.
+CUT = {"script", "style", "noscript", "template", "iframe", "svg", "head"}
+DROP = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog"}
 BOXES = {"article", "main", "section", "div", "body", "td"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NOISE = re.compile(r"(^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)($|[-_ ])", re.I)
+NOISE = re.compile(r"(^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|header|menu|nav|navbar|navigation\w*|navlist|navmenu|navs|newsletter|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)($|[-_ ])", re.I)
+
+
+TITLED, OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}, {"article", "main"}
 
 
 class Page(HTMLParser):
-    """blocks: (paths of the open containers, text, link characters)."""
+    """blocks: (paths of the open containers, text, link characters, marks); a mark is a noisy element and how many containers are around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack, self.text, self.link, self.blocks = [], [], 0, []
+        self.stack, self.text, self.link, self.blocks, self.n = [], [], 0, [], 0
 
     def _end_block(self):
         if t := " ".join("".join(self.text).split()):
-            self.blocks.append((tuple(p for _, p, _ in self.stack if p), t, self.link))
+            self.blocks.append((tuple(p for _, p, _, _ in self.stack if p), t, self.link, tuple(m for _, _, _, m in self.stack if m)))
         self.text, self.link = [], 0
 
     def _dropped(self):
-        return any(d for _, _, d in self.stack)
+        return any(d for _, _, d, _ in self.stack)
+
+    def _noisy(self, tag, a):
+        if tag in DROP:
+            return True
+        if tag in TITLED or tag == "body" or tag in OWN and not any(t in OWN for t, _, _, _ in self.stack):
+            return False
+        i = a.get("id") or ""
+        return bool(NOISE.search(a.get("class") or "") or (NOISE.search(i) if tag != "section" or not re.search(r"[-_ ]", i) else None))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -42,12 +57,12 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         a = dict(attrs)
-        names = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
         path = None
         if tag in BOXES:
-            up = next((p for _, p, _ in reversed(self.stack) if p), "")
+            up = next((p for _, p, _, _ in reversed(self.stack) if p), "")
             path = f"{up}/{tag}" + "".join("." + re.sub(r"\d+", "", c) for c in (a.get("class") or "").split())
-        self.stack.append((tag, path, tag in DROP or tag != "body" and bool(NOISE.search(names))))
+        self.n += 1
+        self.stack.append((tag, path, tag in CUT, (self.n, sum(p is not None for _, p, _, _ in self.stack)) if self._noisy(tag, a) else None))
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
@@ -60,7 +75,7 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if not self._dropped():
             self.text.append(data)
-            self.link += len(data) * any(t == "a" for t, _, _ in self.stack)
+            self.link += len(data) * any(t == "a" for t, _, _, _ in self.stack)
 
 
 def blocks(html):
@@ -68,18 +83,30 @@ def blocks(html):
     p.feed(html or "")
     p.close()
     p._end_block()
-    return p.blocks
+    held, total = {}, 0
+    for _, t, link, marks in p.blocks:
+        own = max(0, len(t) - 2 * link)
+        total += own
+        for m in marks:
+            held[m] = held.get(m, 0) + own
+    return [(paths, t, link, tuple(m for m in marks if 2 * held[m] <= total)) for paths, t, link, marks in p.blocks]
 
 
 def best(found):
     """(path, score) of the best container: most text without links, deepest among equals."""
     score = {}
-    for paths, t, link in found:
-        for x in paths:
+    for paths, t, link, marks in found:
+        for x in paths if not marks else ():
             score[x] = score.get(x, 0) + len(t) - 2 * link + 100 * ("/article" in x)
     return max(((x, s) for x, s in score.items()), key=lambda v: (v[1], len(v[0]), v[0]), default=("", 0))
 
 
+def inside(found, path):
+    """Texts of the container (or the page, without one) but for noise strictly inside it; with nothing else, that too."""
+    of = [(t, paths.index(path) if path else -1, marks) for paths, t, _, marks in found if not path or path in paths]
+    return [t for t, i, marks in of if all(k <= i for _, k in marks)] or [t for t, _, _ in of]
+
+
 def extract(pages):
     """page_id, url, text, n_chars."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -92,10 +119,9 @@ def extract(pages):
     @F.udf("string")
     def text(html, path):
         found = blocks(html)
-        own = [t for paths, t, _ in found if path and path in paths]
+        own = inside(found, path) if path else []
         if not own:
-            mine = best(found)[0]
-            own = [t for paths, t, _ in found if not mine or mine in paths]
+            own = inside(found, best(found)[0])
         return "\n".join(own)
 
     votes = p.select("host", vote("html").alias("v")).groupBy("host", "v.path").agg(F.count(F.lit(1)).alias("n"), F.sum("v.score").alias("s"))
