@@ -1,37 +1,46 @@
 """Toxicity by weak supervision.
 
-Voters are a lexicon of insults, patterns of abuse, and words or word beginnings, occurring so often at least, that the
-learnable labels show to be telling. A generative
-label model with two classes estimates each voter's accuracies by expectation maximisation, started from the labels;
-voters that agree more than their accuracies explain share their weight (correlations). A linear classifier is trained on
-the posterior labels over the votes and the telling words, and scores every whole text.
-
-Learns from labelled documents with crc32(doc_id) mod 3 other than 1, at most SAMPLE of them by hash. Null and empty texts
-are scored like a text without votes; repeated rows give repeated results; without learnable rows the lexicon alone
-decides; an empty table gives no rows; other columns are ignored."""
+Voters are a lexicon of insults, patterns of abuse, and telling words or word beginnings that occur so often at least;
+every voter says "toxic" or abstains. Their votes on all texts are taken in tasks, once. A generative label model (one clean
+component, and one for each family of voters that vote together, such as those of a language) estimates the voters' rates
+in each component by expectation maximisation over the votes of every learnable text, labelled or not, and their
+correlations from the votes that two voters share beyond what the components explain: correlated voters share their weight.
+The sums are made in tasks; rows for voters and pairs of voters reach the driver. Labels find the telling words, set the
+prior and name the components; no label is a vote, so a posterior may overrule it. A linear classifier is trained on the
+posterior labels of a hash sample of the learnable texts and scores every whole text.
+
+Learns from documents with crc32(doc_id) mod 3 other than 1; telling words come from about SAMPLE labelled ones by hash.
+Null and empty texts are scored like a text without votes; texts of any length are read whole; repeated rows give repeated
+results; conflicting labels of a document count as toxic; labels of unknown documents are ignored; without learnable
+labels of both classes the lexicon and patterns alone vote, with PRIOR; an empty table gives no rows; other columns,
+whatever their names, are ignored."""
 import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-SAMPLE, TELLING, LEAST, CACHE = 20_000, 256, 5, 1 << 18
-STEMS, TIMES = (5, 7), (1, 2, 4)
+from chronorank.llm.shared import settled
+
+# Bounds: labelled rows for telling words, texts for the classifier, telling words, kept words of a worker.
+SAMPLE, FIT, TELLING, CACHE = 20_000, 50_000, 1024, 1 << 18
+# A telling part stands in LEAST toxic texts, with a likelihood ratio that chance reaches about once among all such parts.
+LEAST, PRIOR = 5, 0.05
+STEMS, TIMES = (4, 5, 6, 7), (1, 2, 3, 4)
+ROUNDS, SHARED, TOGETHER, FAMILIES, HOLD = 12, 0.2, 0.15, 12, 2
 # Common insults.
 INSULTS = """idiot idiots idiotic moron morons moronic stupid dumb dumbass fool imbecile cretin loser losers clown clowns trash garbage
 scum filth filthy vermin worthless pathetic disgusting disgrace repulsive vile pig swine rat ugly freak creep jerk bastard bitch
 asshole ass crap damn shit shitty fuck fucking fucker hate kill die retard retarded whore slut coward liar parasite""".split()
+# Pattern, and what a text holds whenever the pattern matches.
 PATTERNS = (
-    r"\byou(?:'re| are)? (?:an? |such an? |all |just |so )?(?:%s)\b" % "|".join(INSULTS),
-    r"\b(?:shut up|go to hell|drop dead|kill yourself|nobody likes you)\b",
-    r"\b[a-z]+[*@$#][a-z*@$#]+\b",
-    r"!{3,}",
+    (r"\byou(?:'re| are)? (?:an? |such an? |all |just |so )?(?:%s)\b" % "|".join(INSULTS), "you"),
+    (r"\b(?:shut up|go to hell|drop dead|kill yourself|nobody likes you)\b", " "),
+    (r"\b[a-z]+[*@$#][a-z*@$#]+\b", "*@$#"),
+    (r"!{3,}", "!!!"),
 )
 WORD = re.compile(r"\w+")
-
-
-def _learnable(docs, labels):
-    return docs.join(labels.selectExpr("cast(doc_id as long) as doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
+HELD = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1, false)"
 
 
 def parts(word):
@@ -39,19 +48,57 @@ def parts(word):
     return {word} | {"^" + word[:n] for n in STEMS if len(word) >= n}
 
 
+def reached(text):
+    """(part, least count) pairs that a text reaches."""
+    seen = Counter()
+    for w, n in Counter(WORD.findall((text or "").lower())).items():
+        for p in parts(w):
+            seen[p] += n
+    return [(p, least) for p, n in seen.items() if len(p) > 1 for least in TIMES if n >= least]
+
+
+def ratio(toxic, clean, n1, n0):
+    """Likelihood ratio (twice its log) of a part in toxic of n1 and clean of n0 texts; 0 where it tells nothing or the opposite."""
+    a, b = np.asarray(toxic, float), np.asarray(clean, float)
+    p = (a + b) / (n1 + n0)
+    g = sum(o * np.log(np.maximum(o, 1e-9) / np.maximum(n * q, 1e-9)) for o, n, q in ((a, n1, p), (n1 - a, n1, 1 - p), (b, n0, p), (n0 - b, n0, 1 - p)))
+    return np.where(a * n0 > b * n1, 2 * g, 0)
+
+
+def choose(counts, n1, n0):
+    """Telling (part, least) of counts {(part, least): (toxic, clean)}: of those on one word beginning with equal counts, one."""
+    keys = sorted(counts)
+    g = ratio(*zip(*(counts[k] for k in keys)), n1, n0) if keys else []
+    out, same = [], {(w[: STEMS[0]], *counts[w, 1]) for w in INSULTS if (w, 1) in counts}
+    bar = 2 * np.log(max(2, sum(counts[k][0] >= LEAST for k in keys)))
+    for r, k in sorted(zip(g, keys), key=lambda x: (-x[0], x[1])):
+        mark = (k[0].lstrip("^")[: STEMS[0]], *counts[k])
+        if r >= bar and counts[k][0] >= LEAST and mark not in same:
+            same.add(mark)
+            out.append(k)
+    return out[:TELLING]
+
+
+def lexicon(counts, n1, n0):
+    """The insults, but for those that as many clean texts hold: they are other words in the languages at hand."""
+    odd = {w for w in INSULTS if counts.get((w, 1), (0, 0))[1] >= LEAST and ratio(*counts[w, 1], n1, n0) < 2 * LEAST}
+    return [(w, 1) for w in INSULTS if w not in odd]
+
+
 class Voters:
-    """One voter for each insult, pattern, and telling part that occurs at least so often."""
+    """One voter for each (word or beginning, least count) of words, and for each pattern."""
 
-    def __init__(self, telling=()):
-        self.telling, self.at, self.cache = list(telling), {w: [(1, i)] for i, w in enumerate(INSULTS)}, {}
-        for i, (w, least) in enumerate(self.telling):
-            self.at.setdefault(w, []).append((least, len(INSULTS) + i))
-        self.patterns = [re.compile(p) for p in PATTERNS]
-        self.n = len(INSULTS) + len(self.telling) + len(self.patterns)
+    def __init__(self, words):
+        self.at, self.cache = {}, {}
+        for i, (w, least) in enumerate(words):
+            self.at.setdefault(w, []).append((least, i))
+        self.patterns = [(re.compile(p), set(s) if len(s) == 4 else s) for p, s in PATTERNS]
+        self.first = len(words)
+        self.n = self.first + len(self.patterns)
 
     def votes(self, text):
-        """Places of the voters that speak for toxic."""
-        low, seen = (text or "").lower(), Counter()
+        """Places of the voters that speak for toxic, ascending."""
+        low, seen = (text or "").lower(), {}
         for w, n in Counter(WORD.findall(low)).items():
             known = self.cache.get(w)
             if known is None:
@@ -59,94 +106,205 @@ class Voters:
                     self.cache.clear()
                 known = self.cache[w] = tuple(p for p in parts(w) if p in self.at)
             for p in known:
-                seen[p] += n
+                seen[p] = seen.get(p, 0) + n
         got = [i for p, n in seen.items() for least, i in self.at[p] if n >= least]
-        return got + [self.n - len(self.patterns) + i for i, p in enumerate(self.patterns) if p.search(low)]
-
-
-def telling(texts, y):
-    """(part, least count) that labelled toxic texts reach more often, by a z-score of log odds."""
-    count = {}
-    for t, c in zip(texts, y):
-        seen = Counter()
-        for w, n in Counter(WORD.findall((t or "").lower())).items():
-            for p in parts(w):
-                seen[p] += n
-        for p, n in seen.items():
-            for least in TIMES:
-                if n >= least:
-                    count.setdefault((p, least), [0, 0])[c] += 1
-    n1, n0 = max(1, sum(y)), max(1, len(y) - sum(y))
-    z = {}
-    for w, (a, b) in count.items():
-        if b >= LEAST and len(w[0]) > 1:
-            z[w] = (np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) / np.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-    out, same = [], set()
-    for w in sorted(z, key=lambda w: (-z[w], w)):  # of parts with equal counts, one
-        if z[w] > 3 and len(out) < TELLING and (w[0][:5], *count[w]) not in same:
-            same.add((w[0][:5], *count[w]))
-            out.append(w)
-    return out
-
-
-def label_model(v, y, rounds=25, held=5.0, bound=3.0):
-    """Posterior of class 1 for each row of votes; the labels count as one more voter with log odds of held."""
-    n, m = v.shape
-    p, weight = np.where(y == 1, 0.9, 0.1).astype(float), np.ones(m)
-    for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.01, 0.99)
-        a = (v.T @ p + 0.5) / (p.sum() + 1)
-        b = (v.T @ (1 - p) + 0.5) / ((1 - p).sum() + 1)
-        # correlations left once the class is known, in both classes
-        excess = np.zeros((m, m))
-        for q, r in ((p, a), (1 - p, b)):
-            d = (v - r) * np.sqrt(q)[:, None]
-            s = np.sqrt((d * d).sum(0)) + 1e-9
-            excess += (d.T @ d) / s[:, None] / s / 2
-        weight = 1 / np.clip(np.where(np.abs(excess) > 0.2, np.abs(excess), 0).sum(0), 1, None)
-        one, none = np.log(a / b) * weight, np.log((1 - a) / (1 - b)) * weight
-        said = np.clip(v @ one + (1 - v) @ none, -bound, bound)  # voters may doubt a label, not overrule it
-        s = np.log(prior / (1 - prior)) / 2 + said + np.where(y == 1, held, -held)
-        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    return p
-
-
-def train(v, p, rounds=800, l2=3e-4, step=0.5):
-    """Weights and bias of a logistic regression on soft labels (full batches, momentum)."""
-    w, b, mw, mb = np.zeros(v.shape[1]), 0.0, 0.0, 0.0
-    balance = np.where(p > 0.5, min(10.0, max(1.0, (1 - p).sum() / max(p.sum(), 1))) ** 0.5, 1.0)
+        for i, (p, s) in enumerate(self.patterns):
+            if (any(c in low for c in s) if isinstance(s, set) else s in low) and p.search(low):
+                got.append(self.first + i)
+        return sorted(got)
+
+
+def evidence(share, rates, weight):
+    """For each component, its log share and what no vote and each vote add to it."""
+    none = np.log1p(-rates) * weight
+    return np.log(share) + none.sum(1), np.log(rates) * weight - none
+
+
+def posterior(votes, base, delta):
+    """Posterior of every component for each text."""
+    s = base + np.array([delta[:, np.asarray(v, np.int64)].sum(1) for v in votes]).reshape(-1, len(base))
+    s = np.exp(s - s.max(1, keepdims=True))
+    return s / s.sum(1, keepdims=True)
+
+
+def families(total, alone, both, m):
+    """Voters that vote together, around the busiest voter not yet in a family: the seeds of the toxic components."""
+    p = np.maximum(alone / max(total, 1), 1e-9)
+    near = {}
+    for i, j, n in both:
+        if n >= LEAST and (n / total - p[i] * p[j]) / np.sqrt(p[i] * (1 - p[i]) * p[j] * (1 - p[j])) > TOGETHER:
+            near.setdefault(i, set()).add(j)
+            near.setdefault(j, set()).add(i)
+    out, held = [], set()
+    for i in sorted(range(m), key=lambda i: (-alone[i], i)):
+        own = {i} | near.get(i, set()) - held
+        if i not in held and len(own) > 1 and len(out) < FAMILIES:
+            out.append(sorted(own))
+            held |= own
+    return out or [list(range(m))]
+
+
+def label_model(gather, m, prior, rounds=ROUNDS):
+    """Shares of the components (the first one is clean, the others are ways of being toxic), each voter's rate in them, and its weight.
+
+    gather(base, delta, pairs) gives, over all learnable texts, the sum of the posteriors, for each voter that of the texts it
+    votes on, and with pairs that of the texts for (i, j, .) both of which vote."""
+    n, own, both = gather(np.zeros(1), np.zeros((1, m)), True)
+    seeds = families(n[0], own[:, 0], [(i, j, s[0]) for i, j, s in both], m)
+    k, weight = len(seeds) + 1, np.ones(m)
+    rates = np.tile(np.clip(own[:, 0] / max(n[0], 1), 1e-5, 0.5), (k, 1))
+    for i, seed in enumerate(seeds):
+        rates[1:, seed], rates[0, seed] = 1e-3, rates[0, seed] / 10
+    for i, seed in enumerate(seeds):
+        rates[i + 1, seed] = 0.3
+    held, start = own[:, 0].sum() and np.array([own[seed, 0].max() for seed in seeds]), rates.copy()
+    share = np.append(1 - prior, prior * held / held.sum() if np.sum(held) else np.full(k - 1, prior / (k - 1)))
+    for turn in range(rounds):
+        pairs = turn == rounds // 2
+        n, own, both = gather(*evidence(share, rates, weight), pairs)
+        share = (n + 0.01) / (n + 0.01).sum()
+        rates = np.clip((own.T + HOLD * start) / (n[:, None] + HOLD), 1e-6, 0.99)
+        if pairs:  # what two voters share beyond the components is one vote, not two
+            load = np.zeros(m)
+            for i, j, s in both:
+                c = int(np.argmax(s[1:])) + 1
+                if s[c] >= LEAST:
+                    x, y = rates[c, i], rates[c, j]
+                    r = (s[c] / max(n[c], 1e-9) - x * y) / np.sqrt(x * (1 - x) * y * (1 - y))
+                    if r > SHARED:
+                        load[[i, j]] += min(r, 1)
+            weight = 1 / (1 + load)
+    return share, rates, weight
+
+
+def naming(known, counts, y):
+    """How toxic each component is, as labelled texts (posteriors known, counts, labels y) name them; without any, the first is clean."""
+    c = np.asarray(counts, float)[:, None] * known
+    first = np.arange(known.shape[1]) > 0
+    return (c.T @ np.asarray(y, float) + 0.1 * first) / (c.sum(0) + 0.1)
+
+
+def sums(votes, counts, base, delta, pairs):
+    """(i, j, component, posteriors) summed over these texts: j is -1 for a voter alone; i is -1 for all texts."""
+    q, out = posterior(votes, base, delta), {}
+    for v, n, p in zip(votes, counts, q):
+        v = [int(i) for i in v]
+        for k in [(-1, -1), *((i, -1) for i in v), *((i, j) for x, i in enumerate(v) for j in v[x + 1 :] if pairs)]:
+            out[k] = out[k] + n * p if k in out else n * p
+    return [(*k, c, float(x)) for k, s in out.items() for c, x in enumerate(s)]
+
+
+def added(rows, m, k):
+    """What gather() gives, from rows (i, j, component, posteriors)."""
+    n, own, both = np.zeros(k), np.zeros((m, k)), {}
+    for i, j, c, s in rows:
+        if i < 0:
+            n[c] = s
+        elif j < 0:
+            own[i, c] = s
+        else:
+            both.setdefault((i, j), np.zeros(k))[c] = s
+    return n, own, sorted(((*x, s) for x, s in both.items()), key=lambda x: x[:2])
+
+
+def train(votes, counts, p, m, rounds=1500, l2=3e-5, step=1.0, balance=16.0, cut=0.35):
+    """Weights and bias of a logistic regression on posterior labels (full batches, momentum).
+
+    balance, cut, LEAST and HOLD were chosen by cross-validation over learnable rows alone."""
+    rows = np.concatenate([np.full(len(v), i) for i, v in enumerate(votes)]).astype(np.int64)
+    cols = np.concatenate([np.asarray(v, np.int64) for v in votes]).astype(np.int64)
+    y = (p > cut).astype(float)
+    c = np.asarray(counts, float) * np.where(y > 0, balance, 1.0)
+    c /= c.sum()
+    w, b, mw, mb = np.zeros(m), 0.0, np.zeros(m), 0.0
     for _ in range(rounds):
-        g = (1 / (1 + np.exp(-np.clip(v @ w + b, -30, 30))) - p) * balance
-        mw, mb = 0.9 * mw + v.T @ g / len(p) + l2 * w, 0.9 * mb + g.mean()
+        g = (1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(votes)) + b, -30, 30))) - y) * c
+        mw, mb = 0.9 * mw + np.bincount(cols, g[rows], m) + l2 * w, 0.9 * mb + g.sum()
         w, b = w - step * mw, b - step * mb
     return w, float(b)
 
 
-def fit(docs, labels):
-    rows = _learnable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).select("text", F.col("toxic").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE)
-    rows = rows.select("text", "y").toPandas()  # at most SAMPLE rows
-    y = (rows["y"].to_numpy() > 0).astype(int) if len(rows) else np.zeros(0, int)
-    voters = Voters(telling(rows["text"], y.tolist()) if len(y) else ())
-    if not y.sum() or y.all():
-        return voters.telling, np.full(voters.n, 3.0), -2.0
-    v = np.zeros((len(y), voters.n))
-    for i, t in enumerate(rows["text"]):
-        v[i, voters.votes(t)] = 1
-    return voters.telling, *train(v, label_model(v, y))
+def linear(votes, w, b):
+    return np.array([1 / (1 + np.exp(-np.clip(b + w[np.asarray(v, np.int64)].sum(), -30, 30))) for v in votes], float)
+
+
+def _telling(docs, labels):
+    """(words that vote, share of toxic rows, labelled sample)."""
+    import pandas as pd
+
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(f"doc_id is not null and y is not null and not {HELD}")
+    ids = ids.groupBy("doc_id").agg(F.max(F.expr("int(y > 0)")).alias("y"))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(ids.count(), 1))))
+    ids = settled(ids)  # about SAMPLE rows of two numbers
+    rows = settled(docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "y"))
+    size = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return lexicon({}, 1, 1), PRIOR, ids
+
+    def count(df, only):
+        def run(batches):
+            seen = Counter()
+            for pdf in batches:
+                for t in pdf["text"]:
+                    seen.update(x for x in reached(t) if only is None or x in only)
+            if seen:
+                yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["p", "least", "n"])
+
+        return df.select("text").mapInPandas(run, "p string, least int, n long").groupBy("p", "least").agg(F.sum("n").alias("n"))
+
+    own = [(w, 1) for w in INSULTS]
+    toxic = {(r.p, r.least): r.n for r in count(rows.where("y = 1"), None).where(F.col("n") >= LEAST).collect()}  # bounded by the sample
+    only = frozenset([*toxic, *own])
+    clean = {(r.p, r.least): r.n for r in count(rows.where("y = 0"), only).collect()}
+    counts = {k: (toxic.get(k, 0), clean.get(k, 0)) for k in only}
+    return lexicon(counts, n1, n0) + choose(counts, n1, n0), n1 / (n1 + n0), ids
 
 
 def score(docs, labels):
     """doc_id, held_out, score, predicted."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    import pandas as pd
 
-    def run(batches):
-        words, w, b = model.value
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words, prior, ids = _telling(docs, labels)
+    m = Voters(words).n
+
+    def vote(batches):
         voters = Voters(words)
         for pdf in batches:
-            s = np.array([b + w[voters.votes(t if isinstance(t, str) else "")].sum() for t in pdf["text"]], float)
-            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            yield pdf[["doc_id", "held_out"]].assign(score=p, predicted=(p >= 0.7).astype("int32"))
+            yield pdf[["doc_id", "held_out"]].assign(votes=[voters.votes(t if isinstance(t, str) else "") for t in pdf["text"]])
+
+    # ids go to Python as text: beside nulls they would become floats
+    votes = docs.select(F.col("doc_id").cast("string"), F.expr(HELD).alias("held_out"), "text").mapInPandas(vote, "doc_id string, held_out boolean, votes array<int>")
+    votes = settled(votes.withColumn("doc_id", F.col("doc_id").cast("long")))
+    learn = votes.where("not held_out")
+    kinds = settled(learn.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
+
+    def gather(base, delta, pairs):
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame(sums(pdf["votes"], pdf["n"], base, delta, pairs), columns=["i", "j", "c", "s"])
+
+        rows = kinds.mapInPandas(run, "i int, j int, c int, s double").groupBy("i", "j", "c").agg(F.round(F.sum("s"), 6).alias("s"))
+        return added(map(tuple, rows.collect()), m, len(base))  # bounded by voters (once: their pairs) and components
+
+    def local(df, *by):
+        """Kinds of votes on the driver, in a fixed order."""
+        got = df.groupBy("votes", *by).agg(F.count(F.lit(1)).alias("n")).toPandas()
+        order = sorted(range(len(got)), key=lambda i: (tuple(got["votes"][i]), *(got[c][i] for c in by)))
+        return [[got[c][i] for i in order] for c in ("votes", "n", *by)]
+
+    model = evidence(*label_model(gather, m, prior))
+    seen, times, y = local(learn.join(F.broadcast(ids), "doc_id"), "y")  # about SAMPLE texts
+    names = naming(posterior(seen, *model), times, y)
+    rate = int((1 << 30) * min(1.0, FIT / max(learn.count(), 1)))
+    seen, times = local(learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate))  # about FIT texts
+    w, b = train(seen, times, posterior(seen, *model) @ names, m) if seen else (np.zeros(m), -3.0)
+
+    def run(batches):
+        for pdf in batches:
+            s = linear(pdf["votes"], w, b)
+            yield pdf[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.7).astype("int32"))
 
-    held = F.coalesce(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"), F.lit(False))
-    out = docs.select(F.col("doc_id").cast("string"), held.alias("held_out"), "text").mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+    out = votes.select(F.col("doc_id").cast("string"), "held_out", "votes").mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
