@@ -1,20 +1,25 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two sets of at most a shingles each link only
-if they differ in at most 2a/9 of them. For the band of sizes that holds the larger set, the hash range is cut into
-more parts than that; a part's sketch is the exclusive or of its shingles, so a difference can spoil one part only and
-linked sets share whole parts (pigeonhole). A set with too many empty parts to be sure of sharing one that is not empty
-goes on to the next seed, and in the last seed its empty parts count too: no link is lost. Sets that share a part are
-compared in full. Equal sets are joined before, by a 128-bit hash, and only one of them is searched.
+A document's set holds the 64-bit hashes of its distinct 5-word shingles. Sets of a and b shingles link only if they differ
+in at most (a + b) / 9 of them. For the band of sizes that holds the larger set, the hash range is cut into more parts than
+that; a part's sketch is the exclusive or of its shingles, so a difference can spoil one part only (pigeonhole): a set
+whose parts that are not empty outnumber the differences by k shares at least k sketches with every set it links with. It
+may so leave out its k - 1 commonest sketches, and needs k that some other set holds too. A set with too many empty parts
+goes on to the next seed, and in the last seed its empty parts count too: no link is lost. Of buckets with the same members
+one is kept. Sets that share a bucket with its first member are compared in full; then those members of a bucket that are
+still in different components, if sizes and 1024-bit sketches (Hamming distance at most the symmetric difference) allow it.
+Equal sets are joined before, by a 128-bit hash, and only one of them is searched.
 
 Null or empty texts have no set and stay alone; ties go to the smallest id; repeated rows give repeated results; rows
-without an id come back with a null component; an empty table gives no rows; other columns are ignored."""
+that share an id but not a text count with their own sets, and the shortest text (then the first by code point) stands for
+the id in links; rows without an id have their own set size and a null component; an empty table gives no rows; very long
+texts are read whole; other columns are ignored."""
 import numpy as np
 from pyspark.sql import functions as F
 
 from chronorank.llm.shared import components, settled, small
 
-WORDS, SEEDS, RATIO, SLACK, BITS, SALTS = 5, 4, 1.4, 1.05, 1024, 64
+WORDS, SEEDS, RATIO, SLACK, BITS, SALTS, BLOCK = 5, 4, 1.5, 0.25, 1024, 64, 2048
 WIDE, WIDE_FROM = 16384, 1200  # longer sketches of larger sets
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 SPACE = np.zeros(256, bool)
@@ -62,29 +67,30 @@ def _band(hi, seed):
 
 
 def signatures(s):
-    """Hashes that a set shares with every set it links with, besides equal ones."""
+    """[(band, need, hashes)]: a set shares at least need of a band's hashes (one, if need is 0) with every set it links with there."""
     n = len(s)
     if n < 4:  # different sets need at least 4 and 5 shingles to link
-        return np.zeros(0, np.uint64)
+        return []
     ends, out = bands(n * 5 // 4), []
     for i, hi in enumerate(ends):
         if hi < n or (i and ends[i - 1] >= n * 5 // 4):
             continue
         most = 2 * hi // 9
-        parts = int(most * SLACK) + 1 if most > 19 else most + 2
+        parts = most + max(2, int(np.ceil(most * SLACK)))
         for seed in range(SEEDS):
             h = _scramble(s, seed)
             part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             order = np.argsort(h)  # the part grows with the hash
             part, first = np.unique(part[order], return_index=True)
             sketch = np.bitwise_xor.reduceat(_scramble(s[order], 3), first)
-            out.append(_scramble(sketch + part * MIX[1], 0) + _band(hi, seed))
-            if parts - len(part) < parts - most:
+            need = max(0, len(part) - (n + hi) // 9)
+            out.append((i * (SEEDS + 1) + seed, need, _scramble(sketch + part * MIX[1], 0) + _band(hi, seed)))
+            if need:
                 break
         else:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
-            out.append(_scramble(empty * MIX[1], 0) + _band(hi, SEEDS))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append((i * (SEEDS + 1) + SEEDS, 0, _scramble(empty * MIX[1], 0) + _band(hi, SEEDS)))
+    return out
 
 
 def _sets(batches):
@@ -104,17 +110,27 @@ def _parts(batches):
     import pandas as pd
 
     for pdf in batches:
-        ids, sigs, size = [], [], 0
+        got, size = [], 0
         for i, t in zip(pdf["doc_id"], pdf["text"]):
-            s = signatures(shingles(t))
-            ids.append(np.full(len(s), i))
-            sigs.append(s)
-            size += len(s)
+            for band, need, x in signatures(shingles(t)):
+                got.append((x.view(np.int64), np.full(len(x), i, np.int64), np.full(len(x), band << 40 | need, np.int64)))
+                size += len(x)
             if size > 1 << 20:
-                yield pd.DataFrame({"s": np.concatenate(sigs).view(np.int64), "rep": np.concatenate(ids).astype(np.int64)})
-                ids, sigs, size = [], [], 0
+                yield pd.DataFrame(dict(zip(("s", "rep", "code"), map(np.concatenate, zip(*got)))))
+                got, size = [], 0
         if size:
-            yield pd.DataFrame({"s": np.concatenate(sigs).view(np.int64), "rep": np.concatenate(ids).astype(np.int64)})
+            yield pd.DataFrame(dict(zip(("s", "rep", "code"), map(np.concatenate, zip(*got)))))
+
+
+def buckets(parts):
+    """s, rep, k (members): of the signatures those that a set can link by, and of equal buckets one."""
+    shared = settled(parts.withColumn("f", F.expr("count(*) over (partition by s)")).where("f > 1"))
+    rare = shared.withColumn("need", F.expr("code & ((1L << 40) - 1)"))
+    rare = rare.withColumn("rk", F.expr("row_number() over (partition by rep, code order by f desc, s)")).withColumn("own", F.expr("count(*) over (partition by rep, code)"))
+    rare = rare.where("own >= need and (need = 0 or rk >= need)").select("s", "rep")
+    held = settled(rare.selectExpr("s", "rep", "count(*) over (partition by s) as k", "min(rep) over (partition by s) as pivot", "bit_xor(xxhash64(rep)) over (partition by s) as members").where("k > 1"))
+    one = held.groupBy("k", "pivot", "members").agg(F.min("s").alias("s")).select("s")
+    return settled(held.join(one, "s", "left_semi").drop("members"))
 
 
 def _linked(batches):
@@ -146,33 +162,43 @@ def _verify(pairs, texts, sets):
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").select("a", "salt", "b", "text").mapInPandas(_linked, "a long, b long")
 
 
+def _apart(held, comp, sketches):
+    """Pairs (a, b) of a bucket in different components whose sizes and sketches let them link. Large buckets are met block by block."""
+    inside = held.join(small(comp).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = settled(inside.selectExpr("s", "rep", "k", "c", "max(c) over (partition by s) <> min(c) over (partition by s) as mixed").where("mixed").drop("mixed"))
+    words = [f"w{i}" for i in range(BITS // 64)]
+    full = mixed.join(sketches.select(F.col("doc_id").alias("rep"), "n", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)]), "rep")
+    left = full.withColumn("block", F.expr(f"pmod(xxhash64(rep), cast(ceil(k / {BLOCK}) as long))")).drop("k").withColumnsRenamed({"rep": "a", "c": "ca", "n": "na"} | {w: f"a{w}" for w in words})
+    right = full.withColumn("block", F.explode(F.expr(f"sequence(0L, cast(ceil(k / {BLOCK}) as long) - 1)"))).drop("k").withColumnsRenamed({"rep": "b", "c": "cb", "n": "nb"} | {w: f"b{w}" for w in words})
+    far = " + ".join(f"bit_count(a{w} ^ b{w})" for w in words)
+    fits = F.expr(f"a < b and ca <> cb and 5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * ({far}) <= na + nb")
+    return left.join(right, (left["s"] == right["s"]) & (left["block"] == right["block"]) & fits).select("a", "b").distinct()
+
+
 def join(docs):
     """doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    none = texts.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    texts = texts.where("doc_id is not null")
-    sets = settled(texts.mapInPandas(_sets, "doc_id long, n long, a long, b long, sketch array<long>, wide array<long>"))
-    classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    # every bucket is salted for the copies' way to their class: a class may hold a third of all rows
+    sets = texts.select(F.col("doc_id").cast("string"), "text").mapInPandas(_sets, "doc_id string, n long, a long, b long, sketch array<long>, wide array<long>")
+    sets = settled(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
+    sizes, texts = sets.select("doc_id", "n"), texts.where("doc_id is not null")
+    none = sizes.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    own = sets.where("doc_id is not null")
+    twice = own.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if twice:
+        texts = settled(texts.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("x")).select("doc_id", "x.text"))
+        own = settled(texts.mapInPandas(_sets, "doc_id long, n long, a long, b long, sketch array<long>, wide array<long>"))
+    classes = own.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    # classes are salted for the copies' way to them: a class may hold a third of all rows
     salts = 16
-    member = sets.drop("sketch", "wide").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(classes.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["n", "a", "b", "salt"], "left")
+    member = own.drop("sketch", "wide").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(classes.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["n", "a", "b", "salt"], "left")
     member = settled(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    copies = member.where("doc_id <> rep or n < 4").select("doc_id").distinct()
-    one = texts.dropDuplicates(["doc_id"]) if sets.groupBy("doc_id").count().where("count > 1").limit(1).count() else texts
-    one = one.join(small(copies), "doc_id", "left_anti")
-    parts = one.mapInPandas(_parts, "s long, rep long")
-    parts = settled(parts.withColumn("pivot", F.expr("min(rep) over (partition by s)")).where("rep <> pivot"))
-    sketches = sets.select("doc_id", "n", "sketch", "wide").dropDuplicates(["doc_id"])
-    near = settled(_verify(parts.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one, sketches))
-    comp = settled(components(near))
-    # what a bucket's first member has not joined: pairs of its members in different components
-    inside = parts.select("s", F.col("rep").alias("x")).union(parts.select("s", F.col("pivot").alias("x")).distinct())
-    inside = inside.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).select("s", "x", "c")
-    mixed = settled(inside.withColumn("k", F.expr("max(c) over (partition by s) <> min(c) over (partition by s)")).where("k").select("s", "x", "c"))
-    other = mixed.select("s", F.col("x").alias("y"), F.col("c").alias("e"))
-    tried = parts.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    rest = mixed.join(other, "s").where("c <> e and x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    far = _verify(rest, one, sketches)
+    one = texts.join(small(member.where("doc_id <> rep or n < 4").select("doc_id")), "doc_id", "left_anti")
+    held = buckets(one.mapInPandas(_parts, "s long, rep long, code long"))
+    sketches = own.join(small(held.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sketches = settled(sketches.select("doc_id", "n", "sketch", "wide"))
+    near = settled(_verify(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one, sketches))
+    far = _verify(_apart(held, settled(components(near)), sketches), one, sketches)
     comp = settled(components(near.union(far)))
-    out = member.join(comp, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).unionByName(none)
+    out = member.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = sizes.where("doc_id is not null").join(out.drop("n"), "doc_id") if twice else out
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
