@@ -10,7 +10,7 @@ prior and name the components; no label is a vote, so a posterior may overrule i
 posterior labels of a hash sample of the learnable texts and scores every whole text.
 
 Learns from documents with crc32(doc_id) mod 3 other than 1; telling words come from about SAMPLE labelled ones by hash.
-Null and empty texts are scored like a text without votes; texts of any length are read whole; repeated rows give repeated
+Copies of a text count once. Null and empty texts are scored like a text without votes; texts of any length are read whole; repeated rows give repeated
 results; conflicting labels of a document count as toxic; labels of unknown documents are ignored; without learnable
 labels of both classes the lexicon and patterns alone vote, with PRIOR; an empty table gives no rows; other columns,
 whatever their names, are ignored."""
@@ -22,22 +22,25 @@ from pyspark.sql import functions as F
 
 from chronorank.llm.shared import settled
 
-# Bounds: labelled rows for telling words, texts for the classifier, telling words, kept words of a worker.
-SAMPLE, FIT, TELLING, CACHE = 20_000, 50_000, 1024, 1 << 18
-# A telling part stands in LEAST toxic texts, with a likelihood ratio that chance reaches about once among all such parts.
-LEAST, PRIOR = 5, 0.05
+# Bounds: labelled rows for telling words, texts for the classifier, telling words, kept pieces of a worker and their length.
+SAMPLE, FIT, TELLING, CACHE, LONG = 20_000, 50_000, 512, 1 << 17, 64
+# A telling part stands in LEAST toxic texts (divided by how many share the commonest word before or after it: words of copied
+# texts and passages tell nothing), in LIFT times as large a share of them as of the clean ones, with a likelihood ratio that chance reaches about once among all such parts, and with
+# MORE of that ratio beside others on its words.
+LEAST, LIFT, MORE, PRIOR = 5, 4, 0.05, 0.05
 STEMS, TIMES = (4, 5, 6, 7), (1, 2, 3, 4)
 ROUNDS, SHARED, TOGETHER, FAMILIES, HOLD = 12, 0.2, 0.15, 12, 2
 # Common insults.
 INSULTS = """idiot idiots idiotic moron morons moronic stupid dumb dumbass fool imbecile cretin loser losers clown clowns trash garbage
 scum filth filthy vermin worthless pathetic disgusting disgrace repulsive vile pig swine rat ugly freak creep jerk bastard bitch
 asshole ass crap damn shit shitty fuck fucking fucker hate kill die retard retarded whore slut coward liar parasite""".split()
-# Pattern, and what a text holds whenever the pattern matches.
+PHRASES = ("shut up", "go to hell", "drop dead", "kill yourself", "nobody likes you")
+# Pattern, and pieces of which every match holds one.
 PATTERNS = (
-    (r"\byou(?:'re| are)? (?:an? |such an? |all |just |so )?(?:%s)\b" % "|".join(INSULTS), "you"),
-    (r"\b(?:shut up|go to hell|drop dead|kill yourself|nobody likes you)\b", " "),
-    (r"\b[a-z]+[*@$#][a-z*@$#]+\b", "*@$#"),
-    (r"!{3,}", "!!!"),
+    (r"\byou(?:'re| are)? (?:an? |such an? |all |just |so )?(?:%s)\b" % "|".join(INSULTS), ("you",)),
+    (r"\b(?:%s)\b" % "|".join(PHRASES), PHRASES),
+    (r"\b[a-z]+[*@$#][a-z*@$#]+\b", tuple("*@$#")),
+    (r"!{3,}", ("!!!",)),
 )
 WORD = re.compile(r"\w+")
 HELD = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1, false)"
@@ -48,13 +51,44 @@ def parts(word):
     return {word} | {"^" + word[:n] for n in STEMS if len(word) >= n}
 
 
-def reached(text):
+def places(text, wanted):
+    """(part, word before, word after) of the first place of each wanted part."""
+    words, seen = ["", *WORD.findall((text or "").lower()), ""], {}
+    for i in range(1, len(words) - 1):
+        for p in parts(words[i]):
+            if p in wanted and p not in seen:
+                seen[p] = (p, words[i - 1], words[i + 1])
+    return list(seen.values())
+
+
+class Reader:
+    """How often the wanted parts (all, without only) stand in a text. What a piece between white space holds is kept."""
+
+    def __init__(self, only=None):
+        self.only, self.kept = only, {}
+
+    def _piece(self, piece):
+        got = Counter(p for w in WORD.findall(piece) for p in parts(w) if len(p) > 1 and (self.only is None or p in self.only))
+        if len(piece) <= LONG:  # and at most CACHE of them
+            if len(self.kept) >= CACHE:
+                self.kept.clear()
+            self.kept[piece] = tuple(got.items())
+        return tuple(got.items())
+
+    def __call__(self, low):
+        seen, kept = {}, self.kept
+        for piece, n in Counter(low.split()).items():
+            known = kept.get(piece)
+            if known is None:
+                known = self._piece(piece)
+            for p, k in known:
+                seen[p] = seen.get(p, 0) + n * k
+        return seen
+
+
+def reached(text, read):
     """(part, least count) pairs that a text reaches."""
-    seen = Counter()
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        for p in parts(w):
-            seen[p] += n
-    return [(p, least) for p, n in seen.items() if len(p) > 1 for least in TIMES if n >= least]
+    return [(p, least) for p, n in read((text or "").lower()).items() for least in TIMES if n >= least]
 
 
 def ratio(toxic, clean, n1, n0):
@@ -65,18 +99,24 @@ def ratio(toxic, clean, n1, n0):
     return np.where(a * n0 > b * n1, 2 * g, 0)
 
 
-def choose(counts, n1, n0):
-    """Telling (part, least) of counts {(part, least): (toxic, clean)}: of those on one word beginning with equal counts, one."""
+def choose(counts, n1, n0, tried):
+    """Telling (part, least) of counts {(part, least): (toxic, clean)}, of so many that were tried. A part of a word that a chosen beginning or insult covers
+    has to be telling among the texts that hold that, too."""
     keys = sorted(counts)
     g = ratio(*zip(*(counts[k] for k in keys)), n1, n0) if keys else []
-    out, same = [], {(w[: STEMS[0]], *counts[w, 1]) for w in INSULTS if (w, 1) in counts}
-    bar = 2 * np.log(max(2, sum(counts[k][0] >= LEAST for k in keys)))
-    for r, k in sorted(zip(g, keys), key=lambda x: (-x[0], x[1])):
-        mark = (k[0].lstrip("^")[: STEMS[0]], *counts[k])
-        if r >= bar and counts[k][0] >= LEAST and mark not in same:
-            same.add(mark)
-            out.append(k)
-    return out[:TELLING]
+    bar = 2 * np.log(max(2, tried))
+    out = [(w, 1) for w in INSULTS if (w, 1) in counts]
+    for r, (part, least) in sorted(zip(g, keys), key=lambda x: (-x[0], x[1])):
+        a, b = counts[part, least]
+        over = [k for k in out if k[1] <= least and (k[0] == part or k[0][0] == "^" and part.lstrip("^").startswith(k[0][1:]) or part[0] == "^" and k[0].startswith(part[1:]))]
+        if r >= bar and a >= LEAST and a * n0 >= LIFT * b * n1 and all(_adds(a, b, *counts[k]) >= MORE * bar for k in over):
+            out.append((part, least))
+    return [k for k in out if k[1] > 1 or k[0] not in INSULTS][:TELLING]
+
+
+def _adds(a, b, n1, n0):
+    """Likelihood ratio of a part in a toxic and b clean texts beside another one in n1 and n0: within its texts, or outside of them."""
+    return float(ratio(a, b, n1, n0)) if a <= n1 and b <= n0 else float(ratio(a - n1, max(0, b - n0), a, max(b, 1))) if a > n1 else 0.0
 
 
 def lexicon(counts, n1, n0):
@@ -89,31 +129,28 @@ class Voters:
     """One voter for each (word or beginning, least count) of words, and for each pattern."""
 
     def __init__(self, words):
-        self.at, self.cache = {}, {}
+        self.at = {}
         for i, (w, least) in enumerate(words):
             self.at.setdefault(w, []).append((least, i))
-        self.patterns = [(re.compile(p), set(s) if len(s) == 4 else s) for p, s in PATTERNS]
-        self.first = len(words)
+        self.read, self.patterns, self.first = Reader(self.at), [(re.compile(p), s) for p, s in PATTERNS], len(words)
         self.n = self.first + len(self.patterns)
 
     def votes(self, text):
         """Places of the voters that speak for toxic, ascending."""
-        low, seen = (text or "").lower(), {}
-        for w, n in Counter(WORD.findall(low)).items():
-            known = self.cache.get(w)
-            if known is None:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                known = self.cache[w] = tuple(p for p in parts(w) if p in self.at)
-            for p in known:
-                seen[p] = seen.get(p, 0) + n
-        got = [i for p, n in seen.items() for least, i in self.at[p] if n >= least]
-        for i, (p, s) in enumerate(self.patterns):
-            if (any(c in low for c in s) if isinstance(s, set) else s in low) and p.search(low):
-                got.append(self.first + i)
+        low = (text or "").lower()
+        got = [i for p, n in self.read(low).items() for least, i in self.at[p] if n >= least]
+        got += [self.first + i for i, (p, some) in enumerate(self.patterns) if any(x in low for x in some) and p.search(low)]
         return sorted(got)
 
 
+def table(votes, m):
+    """Votes as a matrix of zeros and ones."""
+    out = np.zeros((len(votes), m))
+    for i, v in enumerate(votes):
+        out[i, np.asarray(v, np.int64)] = 1
+    return out
+
+
 def evidence(share, rates, weight):
     """For each component, its log share and what no vote and each vote add to it."""
     none = np.log1p(-rates) * weight
@@ -122,7 +159,7 @@ def evidence(share, rates, weight):
 
 def posterior(votes, base, delta):
     """Posterior of every component for each text."""
-    s = base + np.array([delta[:, np.asarray(v, np.int64)].sum(1) for v in votes]).reshape(-1, len(base))
+    s = base + table(votes, delta.shape[1]) @ delta.T
     s = np.exp(s - s.max(1, keepdims=True))
     return s / s.sum(1, keepdims=True)
 
@@ -141,7 +178,7 @@ def families(total, alone, both, m):
         if i not in held and len(own) > 1 and len(out) < FAMILIES:
             out.append(sorted(own))
             held |= own
-    return out or [list(range(m))]
+    return out
 
 
 def label_model(gather, m, prior, rounds=ROUNDS):
@@ -151,14 +188,16 @@ def label_model(gather, m, prior, rounds=ROUNDS):
     votes on, and with pairs that of the texts for (i, j, .) both of which vote."""
     n, own, both = gather(np.zeros(1), np.zeros((1, m)), True)
     seeds = families(n[0], own[:, 0], [(i, j, s[0]) for i, j, s in both], m)
+    if not seeds:  # too few votes to learn from: two votes say toxic
+        return np.array([1 - prior, prior]), np.array([np.full(m, 0.001), np.full(m, 0.02)]), np.ones(m)
     k, weight = len(seeds) + 1, np.ones(m)
     rates = np.tile(np.clip(own[:, 0] / max(n[0], 1), 1e-5, 0.5), (k, 1))
     for i, seed in enumerate(seeds):
-        rates[1:, seed], rates[0, seed] = 1e-3, rates[0, seed] / 10
+        rates[1:, seed], rates[0, seed] = 1e-3, np.minimum(rates[0, seed] / 10, 0.01)
     for i, seed in enumerate(seeds):
         rates[i + 1, seed] = 0.3
-    held, start = own[:, 0].sum() and np.array([own[seed, 0].max() for seed in seeds]), rates.copy()
-    share = np.append(1 - prior, prior * held / held.sum() if np.sum(held) else np.full(k - 1, prior / (k - 1)))
+    held, start = np.array([own[seed, 0].max() for seed in seeds]), rates.copy()
+    share = np.append(1 - prior, prior * held / held.sum())
     for turn in range(rounds):
         pairs = turn == rounds // 2
         n, own, both = gather(*evidence(share, rates, weight), pairs)
@@ -170,7 +209,7 @@ def label_model(gather, m, prior, rounds=ROUNDS):
                 c = int(np.argmax(s[1:])) + 1
                 if s[c] >= LEAST:
                     x, y = rates[c, i], rates[c, j]
-                    r = (s[c] / max(n[c], 1e-9) - x * y) / np.sqrt(x * (1 - x) * y * (1 - y))
+                    r = (s[c] / n[c] - x * y) / np.sqrt(x * (1 - x) * y * (1 - y))
                     if r > SHARED:
                         load[[i, j]] += min(r, 1)
             weight = 1 / (1 + load)
@@ -186,12 +225,14 @@ def naming(known, counts, y):
 
 def sums(votes, counts, base, delta, pairs):
     """(i, j, component, posteriors) summed over these texts: j is -1 for a voter alone; i is -1 for all texts."""
-    q, out = posterior(votes, base, delta), {}
-    for v, n, p in zip(votes, counts, q):
-        v = [int(i) for i in v]
-        for k in [(-1, -1), *((i, -1) for i in v), *((i, j) for x, i in enumerate(v) for j in v[x + 1 :] if pairs)]:
-            out[k] = out[k] + n * p if k in out else n * p
-    return [(*k, c, float(x)) for k, s in out.items() for c, x in enumerate(s)]
+    v, q = table(votes, delta.shape[1]), posterior(votes, base, delta) * np.asarray(counts, float)[:, None]
+    out = [(-1, -1, c, x) for c, x in enumerate(q.sum(0).tolist())]
+    own = v.T @ q
+    out += [(i, -1, c, own[i, c]) for i, c in zip(*np.nonzero(own))]
+    for c in range(q.shape[1] if pairs else 0):
+        both = np.triu((v * q[:, c : c + 1]).T @ v, 1)
+        out += [(i, j, c, both[i, j]) for i, j in zip(*np.nonzero(both))]
+    return [(int(i), int(j), int(c), float(x)) for i, j, c, x in out]
 
 
 def added(rows, m, k):
@@ -210,22 +251,21 @@ def added(rows, m, k):
 def train(votes, counts, p, m, rounds=1500, l2=3e-5, step=1.0, balance=16.0, cut=0.35):
     """Weights and bias of a logistic regression on posterior labels (full batches, momentum).
 
-    balance, cut, LEAST and HOLD were chosen by cross-validation over learnable rows alone."""
-    rows = np.concatenate([np.full(len(v), i) for i, v in enumerate(votes)]).astype(np.int64)
-    cols = np.concatenate([np.asarray(v, np.int64) for v in votes]).astype(np.int64)
+    balance, cut, LEAST, LIFT, MORE and HOLD were chosen by cross-validation over learnable rows alone."""
+    v = table(votes, m)
     y = (p > cut).astype(float)
     c = np.asarray(counts, float) * np.where(y > 0, balance, 1.0)
     c /= c.sum()
     w, b, mw, mb = np.zeros(m), 0.0, np.zeros(m), 0.0
     for _ in range(rounds):
-        g = (1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(votes)) + b, -30, 30))) - y) * c
-        mw, mb = 0.9 * mw + np.bincount(cols, g[rows], m) + l2 * w, 0.9 * mb + g.sum()
-        w, b = w - step * mw, b - step * mb
+        g = (1 / (1 + np.exp(-np.clip(v @ w + b, -30, 30))) - y) * c
+        mw, mb = 0.9 * mw + g @ v + l2 * w, 0.9 * mb + g.sum()
+        w, b = np.maximum(w - step * mw, 0), b - step * mb  # a vote never speaks for clean
     return w, float(b)
 
 
 def linear(votes, w, b):
-    return np.array([1 / (1 + np.exp(-np.clip(b + w[np.asarray(v, np.int64)].sum(), -30, 30))) for v in votes], float)
+    return 1 / (1 + np.exp(-np.clip(table(votes, len(w)) @ w + b, -30, 30)))
 
 
 def _telling(docs, labels):
@@ -236,7 +276,7 @@ def _telling(docs, labels):
     ids = ids.groupBy("doc_id").agg(F.max(F.expr("int(y > 0)")).alias("y"))
     ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(ids.count(), 1))))
     ids = settled(ids)  # about SAMPLE rows of two numbers
-    rows = settled(docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "y"))
+    rows = settled(docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "y").distinct())
     size = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -244,21 +284,36 @@ def _telling(docs, labels):
 
     def count(df, only):
         def run(batches):
-            seen = Counter()
+            seen, read = Counter(), Reader(only and {p for p, _ in only})
             for pdf in batches:
                 for t in pdf["text"]:
-                    seen.update(x for x in reached(t) if only is None or x in only)
+                    seen.update(x for x in reached(t, read) if only is None or x in only)
             if seen:
                 yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["p", "least", "n"])
 
         return df.select("text").mapInPandas(run, "p string, least int, n long").groupBy("p", "least").agg(F.sum("n").alias("n"))
 
     own = [(w, 1) for w in INSULTS]
-    toxic = {(r.p, r.least): r.n for r in count(rows.where("y = 1"), None).where(F.col("n") >= LEAST).collect()}  # bounded by the sample
-    only = frozenset([*toxic, *own])
-    clean = {(r.p, r.least): r.n for r in count(rows.where("y = 0"), only).collect()}
+    local = lambda df: dict(zip(zip(*(x[c].to_pylist() for c in ("p", "least"))), x["n"].to_pylist())) if (x := df.toArrow()).num_rows else {}
+    toxic = local(count(rows.where("y = 1"), None).where(F.col("n") >= LEAST))  # bounded by the sample
+    keys = sorted(toxic)  # of these, only what would be telling if no clean text held it
+    most = ratio([toxic[k] for k in keys], np.zeros(len(keys)), n1, n0) if keys else []
+    only = frozenset([k for k, g in zip(keys, most) if g >= 2 * np.log(max(2, len(keys)))] + own)
+    clean = local(count(rows.where("y = 0"), only))
+    seen = len(keys)
     counts = {k: (toxic.get(k, 0), clean.get(k, 0)) for k in only}
-    return lexicon(counts, n1, n0) + choose(counts, n1, n0), n1 / (n1 + n0), ids
+    wanted = frozenset(p for p, _ in only)
+
+    def stand(batches):
+        for pdf in batches:
+            yield pd.DataFrame([x for t in pdf["text"] for x in places(t, wanted)], columns=["p", "before", "after"])
+
+    at = settled(rows.where("y = 1").select("text").mapInPandas(stand, "p string, before string, after string"))
+    top = [at.groupBy("p", c).agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.max("n").alias(c)) for c in ("before", "after")]
+    spread = top[0].join(top[1].drop("n"), "p").select("p", (F.col("n") / F.greatest("before", "after")).alias("x")).toArrow()
+    spread = dict(zip(spread["p"].to_pylist(), spread["x"].to_pylist()))
+    counts = {k: v for k, v in counts.items() if k in own or spread.get(k[0], 0) >= LEAST}
+    return lexicon(counts, n1, n0) + choose(counts, n1, n0, seen), n1 / (n1 + n0), ids
 
 
 def score(docs, labels):
@@ -272,21 +327,23 @@ def score(docs, labels):
     def vote(batches):
         voters = Voters(words)
         for pdf in batches:
-            yield pdf[["doc_id", "held_out"]].assign(votes=[voters.votes(t if isinstance(t, str) else "") for t in pdf["text"]])
+            yield pdf[["doc_id", "held_out", "copy"]].assign(votes=[voters.votes(t if isinstance(t, str) else "") for t in pdf["text"]])
 
     # ids go to Python as text: beside nulls they would become floats
-    votes = docs.select(F.col("doc_id").cast("string"), F.expr(HELD).alias("held_out"), "text").mapInPandas(vote, "doc_id string, held_out boolean, votes array<int>")
+    votes = docs.select(F.col("doc_id").cast("string"), F.expr(HELD).alias("held_out"), F.xxhash64("text").alias("copy"), "text").mapInPandas(vote, "doc_id string, held_out boolean, copy long, votes array<int>")
     votes = settled(votes.withColumn("doc_id", F.col("doc_id").cast("long")))
-    learn = votes.where("not held_out")
+    learn = settled(votes.where("not held_out").dropDuplicates(["copy"]).drop("held_out", "copy"))  # copies of a text count once
     kinds = settled(learn.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
 
     def gather(base, delta, pairs):
         def run(batches):
             for pdf in batches:
-                yield pd.DataFrame(sums(pdf["votes"], pdf["n"], base, delta, pairs), columns=["i", "j", "c", "s"])
+                for at in range(0, len(pdf), 4096):
+                    yield pd.DataFrame(sums(pdf["votes"][at : at + 4096], pdf["n"][at : at + 4096], base, delta, pairs), columns=["i", "j", "c", "s"])
 
         rows = kinds.mapInPandas(run, "i int, j int, c int, s double").groupBy("i", "j", "c").agg(F.round(F.sum("s"), 6).alias("s"))
-        return added(map(tuple, rows.collect()), m, len(base))  # bounded by voters (once: their pairs) and components
+        rows = rows.where(F.expr(f"j < 0 or s >= {LEAST}")).toArrow()  # bounded by voters (twice: their pairs) and components
+        return added(zip(*(rows[c].to_pylist() for c in ("i", "j", "c", "s"))), m, len(base))
 
     def local(df, *by):
         """Kinds of votes on the driver, in a fixed order."""
