@@ -3,21 +3,24 @@
 The corpus's most frequent words (counted over all documents) are compiled into a shared-suffix automaton over their
 UTF-8 bytes: every state holds the number of words below it, so that a path adds up to the word's place in the table of
 outputs (its ids). The arrays are broadcast (at most LEXICON words), written once per executor and memory-mapped there.
-Words outside the automaton are merged exactly. Null texts count as empty; an empty text gives no ids; very long words
-are merged with a heap; repeated rows and other columns are left as they are; an empty table gives no rows."""
+Texts are cut at spaces, which no word crosses; the distinct pieces of a group of texts that are not yet known go through
+the automaton together, a byte of all of them at a time, and words outside it are merged exactly. Null texts count as
+empty; an empty text gives no ids; texts and words of any length are encoded whole (long words are merged with a heap);
+repeated rows and ids are left as they are; an empty table gives no rows; other columns, whatever their names, are ignored."""
 import hashlib
 import heapq
 import json
 import os
 import tempfile
 import unicodedata
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-LEXICON, CACHE = 1 << 16, 1 << 18
+from chronorank.llm.shared import settled
+
+LEXICON, CACHE, GROUP, LONG = 1 << 16, 1 << 18, 1 << 20, 64
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
 
@@ -41,8 +44,13 @@ class Model:
         self.special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.name = {i: s for s, i in (self.vocab | self.special).items()}
         self.pieces, self.sign = regex.compile(PIECES), byte_signs()
+        self.whole = any(" " in x for x in self.special)  # then texts can't be cut at spaces
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def cut(self, text):
+        """Pieces of the text that no word crosses."""
+        return [text] if self.whole else text.split(" ")
+
     def words(self, text):
         """The text's words; special tokens stand as their ids."""
         if self.split and self.split.search(text):
@@ -114,7 +122,7 @@ def compile_lexicon(words, outputs):
 
 
 class Lexicon:
-    """The automaton, memory-mapped from the worker's own folder."""
+    """The automaton, memory-mapped from the worker's own folder (a copy of the broadcast arrays, made again wherever it is missing)."""
 
     def __init__(self, arrays):
         for k, a in arrays.items():
@@ -123,64 +131,123 @@ class Lexicon:
                 with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), suffix=".npy", delete=False) as f:
                     np.save(f, a)
                 os.replace(f.name, at)
-            setattr(self, k, memoryview(np.load(at, mmap_mode="r") if a.size else a))
+            setattr(self, k, np.load(at, mmap_mode="r") if a.size else a)
+        arcs = np.diff(self.first)
+        self.key = np.repeat(np.arange(len(arcs), dtype=np.int64) << 8, arcs) | self.byte  # ascending: by state, then byte
+
+    def places(self, words):
+        """Place of each word (bytes) in the table of outputs, -1 for words that the automaton does not hold."""
+        n = np.array([len(w) for w in words], np.int64)
+        out, live = np.full(len(words), -1, np.int64), np.flatnonzero((n > 0) & (n <= LONG))
+        if not len(live) or not len(self.key):
+            return out
+        grid = np.frombuffer(b"".join([words[i].ljust(LONG, b"\0") for i in live.tolist()]), np.uint8).reshape(len(live), LONG)
+        left, state, place, row = n[live], np.full(len(live), self.root[0], np.int64), np.zeros(len(live), np.int64), np.arange(len(live))
+        for i in range(LONG):
+            if not len(row):
+                break
+            want = state << 8 | grid[row, i]
+            j = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            ok = self.key[j] == want
+            row, j, place, live, left = row[ok], j[ok], place[ok], live[ok], left[ok] - 1
+            state, place = self.to[j].astype(np.int64), place + self.skip[j]
+            done = left == 0
+            held = done & self.final[state]
+            out[live[held]] = place[held]
+            row, state, place, live, left = row[~done], state[~done], place[~done], live[~done], left[~done]
+        return out
+
+    def find(self, words):
+        """The ids of each word, None for words that the automaton does not hold."""
+        at, out = self.out_at, self.out
+        return [out[at[p] : at[p + 1]].tolist() if p >= 0 else None for p in self.places([w.encode("utf-8", "surrogatepass") for w in words]).tolist()]
 
-    def find(self, word):
-        """The word's ids, or None if the automaton does not hold it."""
-        k, n = self.root[0], 0
-        for b in word.encode("utf-8", "surrogatepass"):
-            hi = self.first[k + 1]
-            j = bisect_left(self.byte, b, self.first[k], hi)
-            if j == hi or self.byte[j] != b:
-                return None
-            k, n = self.to[j], n + self.skip[j]
-        return self.out[self.out_at[n] : self.out_at[n + 1]].tolist() if self.final[k] else None
+
+def groups(texts, size=GROUP):
+    """Runs of texts (null as empty) of about size characters together."""
+    run, n = [], 0
+    for t in texts:
+        run.append(t if isinstance(t, str) else "")
+        n += len(run[-1])
+        if n >= size:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
 
 def frequent(docs, path, n=LEXICON):
-    """The n most frequent words of all documents, ties by code point."""
+    """The most frequent words of all documents, n at most: those of a count (in steps of an eighth of a power of two, and of two
+    at least) that no more than n words reach, so that no more than n words reach the driver."""
 
     def count(batches):
         import pandas as pd
 
         m = Model(path)
-        total = Counter()
+
+        def rows(pieces):
+            total = Counter()
+            for p, k in pieces.items():
+                for w in m.words(p):
+                    if isinstance(w, str):
+                        total[w] += k
+            return pd.DataFrame([(b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items()) if len(b) <= LONG], columns=["w", "n"])
+
+        pieces = Counter()
         for pdf in batches:
             for t in pdf["text"]:
-                total.update(w for w in m.words(t) if isinstance(w, str))
-            if len(total) > CACHE:
-                yield pd.DataFrame({"w": [w.encode() for w in total], "n": list(total.values())})
-                total = Counter()
-        if total:
-            yield pd.DataFrame({"w": [w.encode() for w in total], "n": list(total.values())})
+                pieces.update(m.cut(t))
+                if len(pieces) > CACHE:
+                    yield rows(pieces)
+                    pieces = Counter()
+        if pieces:
+            yield rows(pieces)
 
-    rows = docs.where("text is not null").select("text").mapInPandas(count, "w binary, n long").where("length(w) <= 64").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(n).collect()
-    return [bytes(r.w).decode() for r in rows]
+    step = F.floor(F.log2("n") * 8).cast("int")
+    words = docs.where("text is not null").select("text").mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    words = settled(words.withColumn("step", step))
+    held, least = 0, 1 << 30
+    for s, k in sorted(((r[0], r[1]) for r in words.groupBy("step").count().collect()), reverse=True):
+        held += k
+        if held > n:
+            break
+        least = s
+    return sorted(bytes(r.w).decode("utf-8", "surrogatepass") for r in words.where(F.col("step") >= least).select("w").collect())
 
 
 def encode(docs, path, texts=False):
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with texts also ids and decoded."""
     m = Model(path)
     words = frequent(docs, path)
-    model = docs.sparkSession.sparkContext.broadcast(compile_lexicon([w.encode() for w in words], [m.merge(w) for w in words]))
+    model = docs.sparkSession.sparkContext.broadcast(compile_lexicon([w.encode("utf-8", "surrogatepass") for w in words], [m.merge(w) for w in words]))
 
     def run(batches):
         m, lexicon, cache = Model(path), Lexicon(model.value), {}
 
-        def known(w):
-            ids = [w] if isinstance(w, int) else lexicon.find(w)
-            ids = m.merge(w) if ids is None else ids
-            if len(cache) >= CACHE:
-                cache.clear()
-            got = cache[w] = (len(ids), " ".join(map(str, ids)), " ".join(m.name[i] for i in ids))
-            return got
+        def learn(pieces):
+            """What each piece gives: its number of ids, the ids and the words decoded, as text."""
+            own = [m.words(p) for p in pieces]
+            new = list({w for ws in own for w in ws if isinstance(w, str)})
+            ids = {w: m.merge(w) if x is None else x for w, x in zip(new, lexicon.find(new))}
+            for p, ws in zip(pieces, own):
+                got = [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))]
+                cache[p] = (len(got), " ".join(map(str, got)), " ".join([m.name[i] for i in got]))
 
         for pdf in batches:
             rows = []
-            for t in pdf["text"]:
-                got = [cache.get(w) or known(w) for w in m.words(t if isinstance(t, str) else "")]
-                ids, back = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                rows.append((sum([x[0] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *([[int(i) for i in ids.split()], back] if texts else [])))
+            for run_ in groups(pdf["text"]):
+                cut = [m.cut(t) for t in run_]
+                if len(cache) > CACHE:
+                    cache.clear()
+                new = [p for p in set().union(*cut) if p not in cache]
+                learn(new)
+                for ps in cut:
+                    got = [x for p in ps if (x := cache[p])[0]]
+                    ids, back = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+                    rows.append((sum([x[0] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *([[int(i) for i in ids.split()], back] if texts else [])))
+                for p in new:  # long pieces are kept for their group only
+                    if len(p) > LONG:
+                        del cache[p]
             cols = list(zip(*rows)) if rows else [[]] * (5 if texts else 3)
             out = pdf[["doc_id"]].assign(n_tokens=list(cols[0]), ids_sha256=list(cols[1]), decoded_sha256=list(cols[2]))
             yield out.assign(ids=list(cols[3]), decoded=list(cols[4])) if texts else out

@@ -30,5 +30,18 @@ def test_like_the_library(spark):
 def test_lexicon():
     words = [b"a", b"ab", b"cab", b"tab", "é".encode()]
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words, [[i, i + 7] for i in range(5)]))
-    assert [lexicon.find(w.decode()) for w in words] == [[i, i + 7] for i in range(5)]
-    assert lexicon.find("ta") is None and lexicon.find("abx") is None and lexicon.find("") is None
+    assert lexicon.find([w.decode() for w in words]) == [[i, i + 7] for i in range(5)]
+    assert lexicon.find(["ta", "abx", "", "tab", "x" * 100]) == [None, None, None, [3, 10], None]
+    assert bpe.Lexicon(bpe.compile_lexicon([], [])).find(["a", ""]) == [None, None]
+
+
+def test_commonest(spark):
+    """Words are counted over all documents; no more than n of them are kept, the commonest ones."""
+    df = spark.createDataFrame([(i, "Ab ab, ab cd" + " ef" * (i % 2) + " only%s" % chr(97 + i)) for i in range(8)], "doc_id long, text string")
+    assert bpe.frequent(df, PATH) == [",", "ab", "cd", "ef"]
+    assert bpe.frequent(df, PATH, 1) == ["ab"]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, "x")], "doc_id long, text string, n_tokens long, ids int, w string")
+    assert bpe.encode(df, PATH).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and bpe.encode(df, PATH).first().n_tokens == 2
