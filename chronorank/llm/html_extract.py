@@ -1,24 +1,31 @@
 """HTML main text by consensus host paths.
 
-Each page's containers are scored (text of their own blocks less the text of links); the best one votes with its
-generalised tag-class path (digits removed) for its host; the winner by votes, then score, then path is extracted anew
-from each page of the host, or the page's own best container where it lacks that path. Blocks inside noise (by tag or by words of
-class and id) are marked, not cut: a mark does not count on an element that holds more than half of a page's text without links,
-nor on the container taken or what is around it, and where only marked blocks are left they are taken. Null or empty html gives an
-empty text; an empty table gives no rows; repeated rows are extracted alike; whole pages are read."""
+Each page is parsed once, in Arrow batches: its blocks (text, containers around it, characters of links, marks of noise) are
+written down, and its containers are scored (text of their own blocks less the text of links); the best one votes with its
+generalised tag-class path (digits removed) for its host; the winner by votes, then score, then path is extracted from the
+blocks of each page of the host, or the page's own best container where it lacks that path. Blocks inside noise (by tag or by
+words of class and id) are marked, not cut: a mark does not count on an element that holds more than half of a page's text
+without links, nor on the container taken or what is around it, and where only marked blocks are left they are taken.
+
+Null or empty html gives an empty text; pages without a host vote together; votes tie by score, then path; an empty table
+gives no rows; repeated rows are extracted alike; whole pages are read, whatever their length; other columns, whatever their
+names, are ignored."""
+import json
 import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronorank.llm.shared import settled, small
+
 # Never text; and noise unless the page's text lies there.
 CUT = {"script", "style", "noscript", "template", "iframe", "svg", "head"}
 DROP = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog"}
 BOXES = {"article", "main", "section", "div", "body", "td"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NOISE = re.compile(r"(^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disclaimer|footer|header|menu|nav|navbar|navigation\w*|navlist|navmenu|navs|newsletter|notice|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe)($|[-_ ])", re.I)
+NOISE = re.compile(r"(^|[-_ ])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|discussion|disqus\w*|cookies?|disclaimer|footer|header|menu|nav|navbar|navigation\w*|navlist|navmenu|navs|newsletter|notice|popup|promo\w*|related|replies|respond|responses|share|sidebar|social|sponsor\w*|subscribe)($|[-_ ])", re.I)
 
 
 TITLED, OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}, {"article", "main"}
@@ -107,24 +114,44 @@ def inside(found, path):
     return [t for t, i, marks in of if all(k <= i for _, k in marks)] or [t for t, _, _ in of]
 
 
+HOSTS = 200_000  # host paths that may be broadcast
+
+
+def pack(found):
+    """Blocks as text: containers and marks are numbered, as most blocks share them."""
+    paths, marks = {}, {}
+    rows = [([paths.setdefault(x, len(paths)) for x in p], t, n, [marks.setdefault(m, len(marks)) for m in ms]) for p, t, n, ms in found]
+    return json.dumps([list(paths), [list(m) for m in marks], rows])
+
+
+def unpack(text):
+    paths, marks, rows = json.loads(text)
+    return [(tuple(paths[i] for i in p), t, n, tuple(tuple(marks[i]) for i in ms)) for p, t, n, ms in rows]
+
+
+def _parse(batches):
+    for pdf in batches:
+        found = [blocks(h if isinstance(h, str) else "") for h in pdf["html"]]
+        top = [best(x) for x in found]
+        yield pdf[["page_id", "url", "host"]].assign(path=[x for x, _ in top], score=[s for _, s in top], found=list(map(pack, found)))
+
+
+def _take(batches):
+    for pdf in batches:
+        out = []
+        for text, mine, win in zip(pdf["found"], pdf["path"], pdf["win"]):
+            found = unpack(text)
+            out.append("\n".join((inside(found, win) if win else []) or inside(found, mine)))
+        yield pdf[["page_id", "url"]].assign(text=out)
+
+
 def extract(pages):
     """page_id, url, text, n_chars."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/]*:?//([^/?#]+)", 1)), F.lit("")))
-
-    @F.udf("path string, score long")
-    def vote(html):
-        return best(blocks(html))
-
-    @F.udf("string")
-    def text(html, path):
-        found = blocks(html)
-        own = inside(found, path) if path else []
-        if not own:
-            own = inside(found, best(found)[0])
-        return "\n".join(own)
-
-    votes = p.select("host", vote("html").alias("v")).groupBy("host", "v.path").agg(F.count(F.lit(1)).alias("n"), F.sum("v.score").alias("s"))
-    win = votes.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("s"), "path"))).where("r = 1").select("host", "path")
-    out = p.join(win, "host", "left").select("page_id", "url", text("html", "path").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    kind = dict(pages.dtypes)["page_id"]
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/]*:?//([^/?#]+)", 1)), F.lit(""))
+    p = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html")  # ids as text: beside nulls they would become floats
+    p = settled(p.mapInPandas(_parse, "page_id string, url string, host string, path string, score long, found string"))
+    votes = p.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    win = votes.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("s"), "path"))).where("r = 1").select("host", F.col("path").alias("win"))
+    out = p.join(small(win, HOSTS), "host", "left").select("page_id", "url", "found", "path", "win").mapInPandas(_take, "page_id string, url string, text string")
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -7,9 +7,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def folder(spark):
-    """A new place below the shared folder that the session names."""
+    """A new place below the shared folder that the session names; without one, below a temporary folder, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp()
@@ -25,15 +27,15 @@ def settled(df):
 
 
 def guarded(docs, uses, change):
-    """change(docs) with the columns that it does not use under names that cannot clash; the same columns come back."""
+    """change(docs) with the columns that it does not use (uses may name columns that docs lacks) under names that cannot clash; the same columns come back."""
     away = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in uses}
     out = change(docs.withColumnsRenamed(away))
     return out.select(*[out[away.get(c, c)].alias(c) for c in docs.columns])
 
 
-def small(df):
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows of ids."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df, rows=BROADCAST_ROWS):
+    """df, marked for broadcast if it has at most so many rows (of a few ids, by default)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(links):
