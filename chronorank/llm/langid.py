@@ -1,19 +1,24 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Learns from every document with text, a language and crc32(doc_id) mod 3 other than 1. The matrix of log probabilities
-(buckets x languages) is broadcast; its size is fixed by BUCKETS and the number of languages. Null texts and texts
-without a letter get `und` with score 0; ties go to the first language by code point; without learnable rows all are
-`und`. Whole texts are read; other columns are ignored."""
+(buckets x languages) is broadcast; its size is fixed by BUCKETS and the number of languages. Texts are scored in batches:
+the n-grams of a batch are counted into a sparse matrix (texts x buckets, compressed rows), which is multiplied by the
+matrix of log probabilities.
+
+Null texts and texts without a letter get `und` with score 0; ties go to the first language by code point; without
+learnable rows all are `und`. Whole texts are read, whatever their length; repeated rows are learnt from and scored each;
+an empty table gives no rows; other columns, whatever their names, are ignored."""
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
-BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
+BUCKETS, ORDERS, BATCH = 1 << 15, (1, 2, 3), 16
+BREAK = regex.compile(r"\P{L}+")
 
 
 def grams(text):
     """Bucket of each n-gram of the lower-cased words; None without a letter."""
-    words = "".join(ch if ch.isalpha() else " " for ch in text.lower()) if not text.isascii() or not text.isalpha() else text.lower()
-    words = " ".join(words.split())
+    words = BREAK.sub(" ", text.lower()).strip()
     if not words:
         return None
     a = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -26,6 +31,19 @@ def grams(text):
     return np.concatenate(out).astype(np.int64)
 
 
+def sparse(found):
+    """Compressed rows (starts, buckets, counts) of the n-grams of some texts."""
+    dense = np.array([np.bincount(g, minlength=BUCKETS) for g in found])
+    row, bucket = np.nonzero(dense)
+    return np.searchsorted(row, np.arange(len(found))), bucket, dense[row, bucket]
+
+
+def scores(found, logp):
+    """Log probability of each text (with one n-gram at least) under each language."""
+    start, bucket, n = sparse(found)
+    return np.add.reduceat(logp[bucket] * n[:, None], start, axis=0, dtype=np.float64)
+
+
 def _count(batches):
     import pandas as pd
 
@@ -59,18 +77,13 @@ def predict(docs):
     model = docs.sparkSession.sparkContext.broadcast(logp)
 
     def score(batches):
-        import pandas as pd
-
         for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                g = grams(t) if isinstance(t, str) and langs else None
-                if g is None:
-                    out.append(("und", 0.0))
-                    continue
-                s = model.value[g].sum(0, dtype=np.float64)
-                i = int(s.argmax())
-                out.append((langs[i], float(1 / np.exp(s - s[i]).sum())))
+            out, texts = [("und", 0.0)] * len(pdf), pdf["text"].tolist()
+            for at in range(0, len(texts) if langs else 0, BATCH):
+                found = [(at + i, g) for i, t in enumerate(texts[at : at + BATCH]) if isinstance(t, str) and (g := grams(t)) is not None]
+                for (i, _), s in zip(found, scores([g for _, g in found], model.value) if found else ()):
+                    k = int(s.argmax())
+                    out[i] = langs[k], float(1 / np.exp(s - s[k]).sum())
             yield pdf[["doc_id", "held_out"]].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out])
 
     held = F.coalesce(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"), F.lit(False))
