@@ -115,7 +115,7 @@ def _parts(batches):
             for band, need, x in signatures(shingles(t)):
                 got.append((x.view(np.int64), np.full(len(x), i, np.int64), np.full(len(x), band << 40 | need, np.int64)))
                 size += len(x)
-            if size > 1 << 20:
+            if size > 1 << 18:
                 yield pd.DataFrame(dict(zip(("s", "rep", "code"), map(np.concatenate, zip(*got)))))
                 got, size = [], 0
         if size:

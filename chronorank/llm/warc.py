@@ -6,8 +6,9 @@ every attempt; only archives that a finished task reports are read). An archive
 indexes/index.cdxj (offset and length of each record) and datapackage.json. The reader parses the end record, the ZIP64
 records and the central directory, finds the stored members and reads the records by ranges, without extraction.
 
-Null html counts as empty. Rows without an id are responses or revisits like others; repeated rows that hold the largest
-id are all responses; an empty table gives no rows; other columns are ignored."""
+Null html counts as empty; payloads of any length are written and read whole. Rows without an id are responses or revisits like others; repeated rows that hold the largest
+id are all responses; an empty table gives no rows; other columns,
+whatever their names, are ignored."""
 import hashlib
 import itertools
 import json
@@ -205,5 +206,6 @@ def typed(pages):
 def roundtrip(pages):
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from the archives."""
     archives = settled(typed(pages).mapInPandas(_write(folder(pages.sparkSession)), "uri string, size long"))
-    back = archives.repartition(max(1, archives.count()), "uri").mapInPandas(_read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    tasks = max(1, min(archives.count(), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # a task reads some archives, one after the other
+    back = archives.repartition(tasks, "uri").mapInPandas(_read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return back.withColumn("page_id", F.expr("try_cast(page_id as long)")).withColumn("refers_to", F.expr("try_cast(refers_to as long)"))
