@@ -3,14 +3,15 @@
 The corpus's most frequent words (counted over all documents) are compiled into a shared-suffix automaton over their
 UTF-8 bytes: every state holds the number of words below it, so that a path adds up to the word's place in the table of
 outputs (its ids). The arrays are broadcast (at most LEXICON words), written once per executor and memory-mapped there.
-Texts are cut at spaces, which no word crosses; the distinct pieces of a group of texts that are not yet known go through
-the automaton together, a byte of all of them at a time, and words outside it are merged exactly. Null texts count as
+The distinct words of a group of texts that are not yet known go through the automaton together, a byte of all of them at a
+time, and words outside it are merged exactly; texts then gather their words' ids. Null texts count as
 empty; an empty text gives no ids; texts and words of any length are encoded whole (long words are merged with a heap);
 repeated rows and ids are left as they are; an empty table gives no rows; other columns, whatever their names, are ignored."""
 import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from chronorank.llm.shared import settled
 
-LEXICON, CACHE, GROUP, LONG = 1 << 16, 1 << 18, 1 << 20, 64
+LEXICON, CACHE, GROUP, LONG, SHORT = 1 << 18, 3 << 17, 1 << 20, 64, 24
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# The same pieces by the plain expressions, for texts without the characters that the two see differently.
+PLAIN, ODD = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|\d|(?:[^\s\w]|_)+"), re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0530-\U0010ffff]")
 
 
 def byte_signs():
@@ -44,13 +47,8 @@ class Model:
         self.special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.name = {i: s for s, i in (self.vocab | self.special).items()}
         self.pieces, self.sign = regex.compile(PIECES), byte_signs()
-        self.whole = any(" " in x for x in self.special)  # then texts can't be cut at spaces
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def cut(self, text):
-        """Pieces of the text that no word crosses."""
-        return [text] if self.whole else text.split(" ")
-
     def words(self, text):
         """The text's words; special tokens stand as their ids."""
         if self.split and self.split.search(text):
@@ -61,12 +59,25 @@ class Model:
     def _plain(self, text):
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return self.pieces.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+        low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return self.pieces.findall(low) if ODD.search(low) else PLAIN.findall(low)
 
     def merge(self, word):
         """Ids of one word: the pair of the lowest rank, the leftmost first, is merged until none is left."""
         s = [self.sign[b] for b in word.encode("utf-8", "surrogatepass")]
         s[-1] += self.tail
+        if len(s) <= SHORT:
+            rank, most = self.rank, len(self.rank)
+            known = [rank.get(p, most) for p in zip(s, s[1:])]
+            while known and (r := min(known)) < most:
+                i = known.index(r)
+                s[i : i + 2] = [s[i] + s[i + 1]]
+                del known[i]
+                if i:
+                    known[i - 1] = rank.get((s[i - 1], s[i]), most)
+                if i < len(known):
+                    known[i] = rank.get((s[i], s[i + 1]), most)
+            return [self.vocab[x] for x in s if x in self.vocab]
         n = len(s)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(self.rank[p], i, p) for i, p in enumerate(zip(s, s[1:])) if p in self.rank]
@@ -185,23 +196,18 @@ def frequent(docs, path, n=LEXICON):
 
         m = Model(path)
 
-        def rows(pieces):
-            total = Counter()
-            for p, k in pieces.items():
-                for w in m.words(p):
-                    if isinstance(w, str):
-                        total[w] += k
-            return pd.DataFrame([(b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items()) if len(b) <= LONG], columns=["w", "n"])
+        def rows(total):
+            return pd.DataFrame([(b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items() if isinstance(w, str)) if len(b) <= LONG], columns=["w", "n"])
 
-        pieces = Counter()
+        total = Counter()
         for pdf in batches:
             for t in pdf["text"]:
-                pieces.update(m.cut(t))
-                if len(pieces) > CACHE:
-                    yield rows(pieces)
-                    pieces = Counter()
-        if pieces:
-            yield rows(pieces)
+                total.update(m.words(t))
+                if len(total) > CACHE:
+                    yield rows(total)
+                    total = Counter()
+        if total:
+            yield rows(total)
 
     step = F.floor(F.log2("n") * 8).cast("int")
     words = docs.where("text is not null").select("text").mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
@@ -222,32 +228,32 @@ def encode(docs, path, texts=False):
     model = docs.sparkSession.sparkContext.broadcast(compile_lexicon([w.encode("utf-8", "surrogatepass") for w in words], [m.merge(w) for w in words]))
 
     def run(batches):
-        m, lexicon, cache = Model(path), Lexicon(model.value), {}
+        m, lexicon, ids, back = Model(path), Lexicon(model.value), {}, {}  # ids and decoded text of the words met so far
+        none = False
 
-        def learn(pieces):
-            """What each piece gives: its number of ids, the ids and the words decoded, as text."""
-            own = [m.words(p) for p in pieces]
-            new = list({w for ws in own for w in ws if isinstance(w, str)})
-            ids = {w: m.merge(w) if x is None else x for w, x in zip(new, lexicon.find(new))}
-            for p, ws in zip(pieces, own):
-                got = [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))]
-                cache[p] = (len(got), " ".join(map(str, got)), " ".join([m.name[i] for i in got]))
+        def learn(new):
+            for w, x in zip(new, lexicon.find([w if isinstance(w, str) else "" for w in new])):
+                got = [w] if isinstance(w, int) else m.merge(w) if x is None else x
+                ids[w], back[w] = " ".join(map(str, got)), " ".join([m.name[i] for i in got])
 
         for pdf in batches:
             rows = []
             for run_ in groups(pdf["text"]):
-                cut = [m.cut(t) for t in run_]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = [p for p in set().union(*cut) if p not in cache]
+                words = [m.words(t) for t in run_]
+                if len(ids) > CACHE:
+                    ids.clear()
+                    back.clear()
+                new = list(set().union(*words).difference(ids))
                 learn(new)
-                for ps in cut:
-                    got = [x for p in ps if (x := cache[p])[0]]
-                    ids, back = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                    rows.append((sum([x[0] for x in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *([[int(i) for i in ids.split()], back] if texts else [])))
-                for p in new:  # long pieces are kept for their group only
-                    if len(p) > LONG:
-                        del cache[p]
+                # a word may have no ids, if the vocabulary lacks its bytes
+                join = " ".join if all(ids[w] for w in new) and not none else lambda x: " ".join(filter(None, x))
+                none |= not all(ids[w] for w in new)
+                for ws in words:
+                    a, b = join(map(ids.__getitem__, ws)), join(map(back.__getitem__, ws))
+                    rows.append((a.count(" ") + 1 if a else 0, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), *([[int(i) for i in a.split()], b] if texts else [])))
+                for w in new:  # long words are kept for their group only
+                    if isinstance(w, str) and len(w) > LONG:
+                        del ids[w], back[w]
             cols = list(zip(*rows)) if rows else [[]] * (5 if texts else 3)
             out = pdf[["doc_id"]].assign(n_tokens=list(cols[0]), ids_sha256=list(cols[1]), decoded_sha256=list(cols[2]))
             yield out.assign(ids=list(cols[3]), decoded=list(cols[4])) if texts else out

@@ -45,3 +45,18 @@ def test_commonest(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6, "x")], "doc_id long, text string, n_tokens long, ids int, w string")
     assert bpe.encode(df, PATH).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and bpe.encode(df, PATH).first().n_tokens == 2
+
+
+def test_plain_pieces_agree():
+    """The plain expressions cut like the vocabulary's, wherever ODD finds nothing."""
+    m = bpe.Model(PATH)
+    chars = [chr(c) for c in range(1, 0x530) if not bpe.ODD.search(chr(c))]
+    text = "".join(f"{c}a{c}{c}1 {c}'s'{c}_" for c in chars)
+    assert len(chars) > 1200 and bpe.PLAIN.findall(text) == m.pieces.findall(text)
+
+
+def test_short_and_long_merges():
+    m = bpe.Model(PATH)
+    t = Tokenizer.from_file(PATH)
+    for w in ("a", "unbelievable", "ab" * 12, "ab" * 13, "thethe" * 40, "éèê" * 9, "1", "…!?", "zzzzzzzzzzzzzzzzzzzzzzzz"):
+        assert m.merge(w) == t.encode(w, add_special_tokens=False).ids
