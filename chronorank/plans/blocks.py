@@ -36,12 +36,12 @@ STEP = """step as (select a, b, w from (select a, b, w, row_number() over (parti
 # A probe counts, and dates the last of, the edges of its key strictly before its time: running frames only.
 PROBE = """ask as (select qid, pos, src, c, t from cand),
  pd as (select c as k, t as ts0, qid, pos, 0 as kind, 0 as e from ask union all select c, greatest(t - 604800, 0), qid, pos, 7, 0 from ask union all select c, greatest(t - 2592000, 0), qid, pos, 30, 0 from ask union all select dst, t, null, null, -1, 1 from edges where t > 0),
- wd as (select qid, pos, kind, coalesce(sum(e) over w, 0) as n, max(case when e = 1 then ts0 end) over w as last_t from pd window w as (partition by k order by ts0 range between unbounded preceding and 1 preceding)),
+ wd as (select qid, pos, kind, coalesce(sum(e) over w, 0) as n, max(case when e = 1 then ts0 end) over w as last_t from pd window w as (partition by k order by ts0, e rows between unbounded preceding and 1 preceding)),
  gd as (select qid, pos, cast(max(case when kind = 0 then n end) - max(case when kind = 7 then n end) as bigint) as n7, cast(max(case when kind = 0 then n end) - max(case when kind = 30 then n end) as bigint) as n30, max(case when kind = 0 then last_t end) as last_d from wd where kind >= 0 group by qid, pos),
  pp as (select src, c as k, t as ts0, qid, pos, 0 as e from ask union all select src, dst, t, null, null, 1 from edges where t > 0),
- gp as (select * from (select qid, pos, e, max(case when e = 1 then ts0 end) over (partition by src, k order by ts0 range between unbounded preceding and 1 preceding) as last_p from pp) x where e = 0),
+ gp as (select * from (select qid, pos, e, max(case when e = 1 then ts0 end) over (partition by src, k order by ts0, e rows between unbounded preceding and 1 preceding) as last_p from pp) x where e = 0),
  ps as (select src as k, t as ts0, qid, 0 as e from qq union all select src, t, null, 1 from edges where t > 0),
- gs as (select * from (select qid, e, max(case when e = 1 then ts0 end) over (partition by k order by ts0 range between unbounded preceding and 1 preceding) as last_s from ps) x where e = 0)"""
+ gs as (select * from (select qid, e, max(case when e = 1 then ts0 end) over (partition by k order by ts0, e rows between unbounded preceding and 1 preceding) as last_s from ps) x where e = 0)"""
 
 # Every (source, candidate), seen or not: how the candidate co-occurs with each item of the source's distinct history.
 CF = """d as (select distinct src, dst from edges), g as (select dst, count(*) as g from d group by dst), hl as (select src, count(*) as len from d group by src),
@@ -66,8 +66,8 @@ def hits(score, extra=""):
 def plans(cand, ord_):
     base, rec = f"{cand}, {ord_}, {FIT}", f"{cand}, {PROBE}"
     z = lambda x: f"({x} - avg({x}) over w) / case when stddev_pop({x}) over w >= 1e-6 then stddev_pop({x}) over w else 1 end"
-    gap = lambda x: f"round(ln(1 + coalesce(t - {x} + 1e0, 1e10)), 6)"
-    never = "case when t <= 0 then round(ln(1 + 1e10), 6) else {} end"
+    gap = lambda x: f"ln(1 + coalesce(t - {x} + 1e0, 1e10))"
+    never = "case when t <= 0 then ln(1 + 1e10) else {} end"
     col = lambda x, name: f"{never.format(x)} as {name}"
     return {
         "edge_scan": ("", "select src, dst, t, k1, k2, k3 from edges"),
@@ -78,10 +78,10 @@ def plans(cand, ord_):
         "base_feature_ranks": (base, "select qid, pos, round(1e0 / rank() over (partition by qid order by pop desc), 6) as rank_pop, round(1e0 / rank() over (partition by qid order by recent_pop desc), 6) as rank_recent_pop, round(1e0 / rank() over (partition by qid order by pair_log desc), 6) as rank_pair, round(1e0 / rank() over (partition by qid order by recency desc), 6) as rank_recency, round(1e0 / rank() over (partition by qid order by pop_3h desc), 6) as rank_pop_3h from f"),
         "transition_scores": (f"{cand}, {ord_}, {STEP}", "select src, c, round(fw, 6) as transition, round(fw + bw, 6) as symmetric_cooc from tr"),
         "rule_scores": (f"{base}, {STEP}", f"select qid, pos, {rule(RULE_A, 'pop')} as rule_a, {rule(RULE_B, f'least(pop, {POP_CAP})')} as rule_b from f join tr on f.src = tr.src and f.c = tr.c"),
-        "recency_block": (rec, f"select ask.qid, ask.pos, {col('round(ln(1 + n30), 6)', 'cnt30')}, {col('round(ln(1 + n7), 6)', 'cnt7')}, {col('round(ln(n7 + 0.5e0 + 1) - ln(n30 + 0.5e0 + 1), 6)', 'burst')}, {col(gap('last_d'), 'gap_dst')}, {col(gap('last_p'), 'gap_pair')}, {col(gap('last_s'), 'gap_src')} from ask join gd on ask.qid = gd.qid and ask.pos = gd.pos join gp on ask.qid = gp.qid and ask.pos = gp.pos join gs on ask.qid = gs.qid"),
+        "recency_block": (rec, f"select ask.qid, ask.pos, {col('ln(1 + n30)', 'cnt30')}, {col('ln(1 + n7)', 'cnt7')}, {col('ln(n7 + 0.5e0 + 1) - ln(n30 + 0.5e0 + 1)', 'burst')}, {col(gap('last_d'), 'gap_dst')}, {col(gap('last_p'), 'gap_pair')}, {col(gap('last_s'), 'gap_src')} from ask join gd on ask.qid = gd.qid and ask.pos = gd.pos join gp on ask.qid = gp.qid and ask.pos = gp.pos join gs on ask.qid = gs.qid"),
         "cf_pair_block": (f"{cand}, {CF}", "select cand.qid, cand.pos, coalesce(round(ln(1 + raw), 6), 0) as cooc_sum, coalesce(round(ln(1 + cos), 6), 0) as cooc_cos, coalesce(round(hit / cast(len as double), 6), 0) as coverage, coalesce(round(ln(1 + top), 6), 0) as cooc_max, coalesce(round(ln(1 + len), 6), 0) as hist_len from cand left join hl on cand.src = hl.src left join cf on cand.src = cf.src and cand.c = cf.c"),
         "cooc_capped_topk": (f"{ord_}, l as (select src, dst, row_number() over (partition by src order by max(o) desc) as rk from ord group by src, dst), k as (select src, dst from l where rk <= 64)", "select a, b, n, round(ln(1 + n) / max(ln(1 + n)) over (partition by a), 6) as w, cast(rk as bigint) as rk from (select *, row_number() over (partition by a order by n desc, b) as rk from (select x.dst as a, y.dst as b, count(*) as n from k x join k y on x.src = y.src and x.dst <> y.dst group by x.dst, y.dst having count(*) >= 2) z) v where rk <= 128"),
-        "degree_heuristics": ("", "select dst, round(n / cast(max(n) over () as double), 6) as popularity, round(d / cast(max(d) over () as double), 6) as degree from (select dst, count(*) as n, count(distinct src) as d from edges group by dst) x"),
+        "degree_heuristics": ("g as (select dst, count(*) as n, count(distinct src) as d from edges group by dst), m as (select max(n) as mn, max(d) as md from g)", "select dst, round(n / cast(mn as double), 6) as popularity, round(d / cast(md as double), 6) as degree from g cross join m"),
         "edge_count_scaled": ("pr as (select src, dst, count(*) as n from edges group by src, dst), top as (select max(n) as m from pr)", "select src, dst, round(n / cast(m as double), 6) as edge_count from pr cross join top"),
         "source_activity": (f"{ord_}, l as (select src, dst, o, row_number() over (partition by src order by o desc) as rk from ord), a as (select src, max(o) as n from ord group by src), m as (select greatest(ln(1 + max(n)), 1) as lm from a)", "select a.src, round(ln(1 + max(a.n)) / max(lm), 6) as activity, round(count(distinct dst) / cast(count(*) as double), 6) as coverage, round(count(*) / 64e0, 6) as fill from a join l on a.src = l.src cross join m where rk <= 64 group by a.src"),
         "audience_hits": (f"{cand}, r as (select dst, src from (select dst, src, row_number() over (partition by dst order by t desc, src desc, k1 desc, k2 desc, k3 desc) as rk from edges) x where rk <= 64), a as (select dst, count(*) as n from r group by dst), m as (select greatest(ln(1 + max(n)), 1) as lm from a), u as (select distinct dst, src from r)", "select qid, pos, case when u.src is null then 0 else 1 end as recent_source_hit, round(ln(1 + coalesce(n, 0)) / lm, 6) as audience_count from cand left join u on cand.c = u.dst and cand.src = u.src left join a on cand.c = a.dst cross join m"),
@@ -95,7 +95,7 @@ def plans(cand, ord_):
         "fixed_grid": (cand, "select qid, pos, cast(round((case when hi = lo then 0.5e0 else 0.01e0 + 0.99e0 * (s - lo) / cast(hi - lo as double) end) * 10000) as bigint) as tenthousandths from (select *, min(s) over (partition by qid) as lo, max(s) over (partition by qid) as hi from sc) x"),
         "prediction_entropy": (f"{cand}, {PROB}", "select round(avg(h), 6) as entropy, count(*) as n from (select qid, -sum(case when p > 0 then p * ln(p) else 0 end) as h from prob group by qid) x"),
         "known_histogram": (cand, "select known, count(*) as n from (select qid, cast(sum(case when s > 0 then 1 else 0 end) as bigint) as known from sc group by qid) x group by known"),
-        "top1_margin": (f"{cand}, {PROB}", "select qid, round(max(case when k = 1 then p end) - max(case when k = 2 then p end), 6) as margin from first_best group by qid"),
+        "top1_margin": (f"{cand}, {PROB}, shares as (select qid, pos, e / sum(e) over (partition by qid) as p from raw), places as (select qid, p, row_number() over (partition by qid order by p desc, pos) as k from shares)", "select qid, max(case when k = 1 then p end) - max(case when k = 2 then p end) as margin from places group by qid"),
         "top1_change": (f"{base}, {TWO}", "select count(*) as n, round(avg(case when a = b then 0e0 else 1e0 end), 6) as changed from (select qid, max(case when d1 = 1 then c end) as a, max(case when d2 = 1 then c end) as b from two group by qid) x"),
         "top1_summary": (f"{base}, {TWO}", "select count(*) as n, count(distinct c) as n_top, round(avg(x1), 6) as mean, round({pct x1 0.5}, 6) as median, round({pct x1 0.95}, 6) as p95 from two where d1 = 1"),
         "top3_jaccard": (f"{base}, {TWO}", "select round(avg(shared / (6e0 - shared)), 6) as jaccard, count(*) as n from (select qid, cast(sum(case when d1 <= 3 and d2 <= 3 then 1 else 0 end) as double) as shared from two group by qid) x"),
@@ -107,13 +107,9 @@ def plans(cand, ord_):
         "grouped_mrr": (f"{base}, gr as (select qid, max(case when pos = 0 then known end) as grp from f group by qid)", f"select grp, count(*) as n, round(avg(1e0 / (1 + g + 0.5 * e)), 6) as mrr from {hits('recency')} join gr on h.qid = gr.qid group by grp"),
         "component_mrr": (base, " union all ".join(f"select '{x}' as component, round(avg(1e0 / (1 + g + 0.5 * e)), 6) as mrr from {hits(x)}" for x in ("pop", "recent_pop", "trend", "recency", "exact_rank", "pair_log", "test_seen"))),
         "weight_grid_step": (f"{base}, grid as (select 0e0 as wt union all select 0.25e0 union all select 0.5e0 union all select 1e0 union all select 2e0), sw as (select wt, qid, pos, round(pop + wt * recent_pop, 6) as x from f cross join grid)", "select wt, round(avg(1e0 / (1 + g + 0.5 * e)), 6) as mrr from (select wt, qid, sum(case when x > p then 1e0 else 0e0 end) as g, sum(case when x = p and pos > 0 then 1e0 else 0e0 end) as e from (select *, max(case when pos = 0 then x end) over (partition by wt, qid) as p from sw) v group by wt, qid) u group by wt"),
-        "quantile_bins": ("c as (select dst, cast(count(*) as double) as n from edges group by dst), e as (select {pct n 0.2} as q1, {pct n 0.4} as q2, {pct n 0.6} as q3, {pct n 0.8} as q4 from c)", "select bin, count(*) as dsts, cast(sum(n) as bigint) as total from (select n, case when n < q1 then 0 when n < q2 then 1 when n < q3 then 2 when n < q4 then 3 else 4 end as bin from c cross join e) x group by bin"),
-        "split_time_tail": ("cut as (select {pct t 0.85} as c from edges)", "select case when t < c then 0 else 1 end as split, count(*) as n, min(t) as t_min, max(t) as t_max from edges cross join cut group by case when t < c then 0 else 1 end"),
-        "time_safety_audit": ("cut as (select {pct t 0.85} as c from edges), s as (select max(case when t < c then t end) as fit_last, min(case when t >= c then t end) as held_first, count(*) as n from edges cross join cut)", "select n, case when fit_last < held_first then 1 else 0 end as disjoint from s"),
-        "unseen_pool": ("top as (select max(dst) + 100 as m from edges), ids as (select {series m} as id from top)", "select id from ids where not exists (select 1 from edges where edges.dst = ids.id)"),
+        "quantile_bins": ("c as (select dst, cast(count(*) as double) as n from edges group by dst), e as (select {pct n 0.2} as q1, {pct n 0.4} as q2, {pct n 0.6} as q3, {pct n 0.8} as q4 from c)", "select bin, count(*) as dsts, cast(sum(n) as bigint) as total from (select n, case when n >= q1 then 1 else 0 end + case when n >= q2 and q2 > q1 then 1 else 0 end + case when n >= q3 and q3 > q2 then 1 else 0 end + case when n >= q4 and q4 > q3 then 1 else 0 end as bin from c cross join e) x group by bin"),
         "hot_list": ("", "select dst, count(*) as n from edges group by dst order by n desc, dst limit 100"),
         "weighted_sample": ("c as (select dst, count(*) as n from edges group by dst), s as (select distinct src from edges), h as (select src, dst, n, (src * 7919 + dst * 104729 + n * 31) % 1000003 as u from edges join c using (dst) group by src, dst, n)", "select src, dst, cast(rk as bigint) as rk from (select src, dst, row_number() over (partition by src order by round(ln((u + 1) / 1000005e0) / n, 9) desc, dst) as rk from h) x where rk <= 8"),
         "history_lags": (ord_, "select src, cast(o as bigint) as o, coalesce(lag(dst, 1) over w, 0) as h1, coalesce(lag(dst, 2) over w, 0) as h2, coalesce(lag(dst, 3) over w, 0) as h3, coalesce(round(ln(1 + greatest(t - lag(t, 1) over w, 0)) / 10, 6), 0) as g1, coalesce(round(ln(1 + greatest(t - lag(t, 2) over w, 0)) / 10, 6), 0) as g2 from ord window w as (partition by src order by o)"),
         "gap_percentiles": (f"{ord_}, g as (select t - lag(t) over (partition by src order by o) as gap from ord)", "select {pct gap 0.5} as p50, {pct gap 0.9} as p90, count(*) as n from g where gap > 0"),
-        "positional_encoding": (cand, "select qid, pos, round(sin(cast(pos as double)), 6) as s0, round(cos(cast(pos as double)), 6) as c0, round(sin(pos / 100e0), 6) as s1, round(cos(pos / 100e0), 6) as c1 from cand"),
     }

@@ -2,6 +2,7 @@
 import re
 from functools import partial
 
+from chronorank.sources import store
 from chronorank.sources.tables import DUCK_TIME, EDGES, SPARK_TIME, run
 
 # Queries: every edge, with 9 arithmetic candidates besides the positive; pos is part of a candidate's identity.
@@ -14,7 +15,7 @@ CAND = """top as (select max(dst) as m from edges),
  sc as (select qid, pos, c, y, coalesce(n, 0) as s from cand left join cnt on c = cnt.dst)"""
 
 PLANS = {
-    "dst_popularity_scaled": ("", "select dst, round(ln(1 + n) / greatest(max(ln(1 + n)) over (), 1), 6) as pop from (select dst, count(*) as n from edges group by dst) x"),
+    "dst_popularity_scaled": ("d as (select dst, count(*) as n from edges group by dst), m as (select greatest(ln(1 + max(n)), 1) as m from d)", "select dst, round(ln(1 + n) / m, 6) as pop from d cross join m"),
     "src_counts_last_time": ("", "select src, count(*) as n, max(t) as last_t, count(distinct dst) as n_dst from edges group by src"),
     "pair_counts": ("", "select src, dst, count(*) as n, max(t) as last_t from edges group by src, dst"),
     "dst_degree_distinct": ("", "select dst, count(distinct src) as degree from edges group by dst"),
@@ -47,19 +48,54 @@ from chronorank.plans import blocks  # noqa: E402  (its plans build on the names
 PLANS |= blocks.plans(CAND, ORD)
 
 
-def text(name: str, spark: bool) -> str:
+CAND_ROWS = re.search(r"cand as \(.*? cross join top\)", CAND)[0]
+
+# Oracles that are written apart from their query.
+APART = {
+    "recency_block": f"""{CAND}, ev as (select cand.qid, cand.pos, cand.t, count(e.t) filter (e.t >= greatest(cand.t - 604800, 0)) as n7, count(e.t) filter (e.t >= greatest(cand.t - 2592000, 0)) as n30, max(e.t) as ld from cand left join edges e on e.dst = cand.c and e.t > 0 and e.t < cand.t group by cand.qid, cand.pos, cand.t),
+ lp as (select cand.qid, cand.pos, max(e.t) as lp from cand join edges e on e.src = cand.src and e.dst = cand.c and e.t > 0 and e.t < cand.t group by cand.qid, cand.pos), ls as (select qq.qid, max(e.t) as ls from qq join edges e on e.src = qq.src and e.t > 0 and e.t < qq.t group by qq.qid)
+ select ev.qid, ev.pos, ln(1 + n30) as cnt30, ln(1 + n7) as cnt7, ln(1.5e0 + n7) - ln(1.5e0 + n30) as burst, ln(1 + coalesce(t - ld + 1, 1e10)) as gap_dst, ln(1 + coalesce(t - lp + 1, 1e10)) as gap_pair, ln(1 + coalesce(t - ls + 1, 1e10)) as gap_src from ev left join lp on ev.qid = lp.qid and ev.pos = lp.pos left join ls on ev.qid = ls.qid""",
+    "window_counts_7d_30d": "select a.dst, a.k1, a.k2, a.k3, a.src, a.t, count(b.t) filter (b.t >= a.t - 604800) as n7, count(b.t) as n30 from edges a left join edges b on b.dst = a.dst and b.t < a.t and b.t >= a.t - 2592000 group by a.dst, a.k1, a.k2, a.k3, a.src, a.t",
+    "recency_pair_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, max(b.t) as prev_t from edges a left join edges b on b.src = a.src and b.dst = a.dst and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "recency_dst_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from edges a left join edges b on b.dst = a.dst and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "recency_src_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from edges a left join edges b on b.src = a.src and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "rank_competition": f"{CAND} select a.qid, a.pos, round(1e0 / (1 + count(b.s)), 6) as r from sc a left join sc b on a.qid = b.qid and b.s > a.s group by a.qid, a.pos",
+    "rank_percentile_col": f"{CAND} select a.qid, a.pos, round(count(*) / 10e0, 6) as r from sc a join sc b on a.qid = b.qid and (b.s < a.s or b.s = a.s and b.pos <= a.pos) group by a.qid, a.pos",
+    "src_recent_exact": f"{ORD}, l as (select src, max(o) as n from ord group by src), m as (select src, dst, max(o) as o from ord group by src, dst) select m.src, dst, round(1 / sqrt(n - o + 1), 6) as w from m join l on m.src = l.src where n - o < 160",
+    "dedupe_keep_last": f"{ORD} select a.src, a.dst, a.o as last_o from ord a where not exists (select 1 from ord b where b.src = a.src and b.dst = a.dst and b.o > a.o)",
+    "transition_topk": f"{ORD}, st as (select src, dst as b, o, unnest([{', '.join(f'lag(dst, {i}) over (partition by src order by o)' for i in range(1, 17))}]) as a, unnest(range(1, 17)) as d from ord), sm as (select a, b, sum(1 / sqrt(d)) as w from st where a is not null and a <> b group by a, b) select a, b, round(w, 6) as w, cast(rk as bigint) as rk from (select *, row_number() over (partition by a order by round(w, 6) desc, b) as rk from sm) v where rk <= 256",
+}
+
+
+def parts(name: str, spark: bool) -> tuple[str, str]:
+    """The edge view and the text behind it."""
     head, body = PLANS[name]
+    both = f"{', ' + head if head else ''} {body}"
+    if not spark and name in APART:
+        both = f", {APART[name]}" if re.match(r"\w+ as \(", APART[name]) else f" {APART[name]}"
     p = "percentile({}, {})" if spark else "quantile_cont({}, {})"
-    edges = EDGES.format(time=SPARK_TIME if spark else DUCK_TIME)
-    series = "explode(sequence(cast(1 as bigint), {}))" if spark else "unnest(generate_series(1, {}))"
-    both = f"with {edges}{', ' + head if head else ''} {body}"
     both = both.replace("{pct60}", p.format("t", 0.60)).replace("{pct82}", p.format("t", 0.82))
-    both = re.sub(r"\{pct (\w+) ([\d.]+)\}", lambda m: p.format(m[1], m[2]), both)
-    return re.sub(r"\{series (\w+)\}", lambda m: series.format(m[1]), both)
+    return EDGES.format(time=SPARK_TIME if spark else DUCK_TIME), re.sub(r"\{pct (\w+) ([\d.]+)\}", lambda m: p.format(m[1], m[2]), both)
+
+
+def text(name: str, spark: bool) -> str:
+    return "with " + "".join(parts(name, spark))
+
+
+def ask(spark, sf_dir: str, name: str):
+    """One query. Where the text names the edge view or the candidates more than once, they are written once and read."""
+    edges, rest = parts(name, True)
+    if len(re.findall(r"\bedges\b", rest)) < 2:
+        return run(spark, sf_dir, f"with {edges}{rest}")
+    known = {"edges": store.settled(run(spark, sf_dir, f"with {edges} select * from edges"))}
+    if CAND_ROWS in rest:
+        known["cand"] = store.settled(spark.sql(f"with edges as (select * from {{edges}}), {CAND[: CAND.index(CAND_ROWS)]}{CAND_ROWS} select * from cand", edges=known["edges"]))
+        rest = rest.replace(CAND_ROWS, "cand as (select * from {cand})")
+    return spark.sql(f"with edges as (select * from {{edges}}){rest}", **known)
 
 
 def queries() -> dict:
-    return {n: partial(run, sql=text(n, True)) for n in PLANS}
+    return {n: partial(ask, name=n) for n in PLANS}
 
 
 def oracle_sql() -> dict:

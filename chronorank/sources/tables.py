@@ -1,5 +1,5 @@
 """Parquet sources and the edge view that the operators share."""
-import os
+import re
 
 TABLES = ("lineitem", "orders", "events", "embeddings")
 SPARK_TIME, DUCK_TIME = "unix_micros(cast(o_orderdate as timestamp)) div 1000000", "epoch_us(o_orderdate) // 1000000"
@@ -8,8 +8,6 @@ EDGES = """edges as (select o_custkey as src, l_partkey as dst, cast({time} as b
 
 
 def run(spark, sf_dir: str, sql: str):
-    """Run one query of the catalogue over the tables below sf_dir."""
-    for t in TABLES:
-        if t in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """Run one query over the tables below sf_dir, which are handed to it: no view of the session is touched."""
+    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(?:from|join) {t}\b", sql)}
+    return spark.sql(re.sub(rf"\b(from|join) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **named)
