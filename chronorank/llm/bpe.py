@@ -2,7 +2,7 @@
 
 The corpus's most frequent words (counted over all documents) are compiled into a shared-suffix automaton over their
 UTF-8 bytes: every state holds the number of words below it, so that a path adds up to the word's place in the table of
-outputs (its ids). The arrays are broadcast (at most LEXICON words), written once per executor and memory-mapped there.
+outputs (its ids). The arrays are broadcast (at most LEXICON words) and memory-mapped by the workers.
 The distinct words of a group of texts that are not yet known go through the automaton together, a byte of all of them at a
 time, and words outside it are merged exactly; texts then gather their words' ids. Null texts count as
 empty; an empty text gives no ids; texts and words of any length are encoded whole (long words are merged with a heap);
@@ -133,16 +133,16 @@ def compile_lexicon(words, outputs):
 
 
 class Lexicon:
-    """The automaton, memory-mapped from the worker's own folder (a copy of the broadcast arrays, made again wherever it is missing)."""
+    """The automaton, memory-mapped from files that are gone from the worker's folder once they are mapped."""
 
     def __init__(self, arrays):
         for k, a in arrays.items():
-            at = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha1(a.tobytes()).hexdigest()}-{a.dtype}.npy")
-            if not os.path.exists(at):
-                with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), suffix=".npy", delete=False) as f:
+            if a.size:
+                with tempfile.NamedTemporaryFile(suffix=".npy") as f:
                     np.save(f, a)
-                os.replace(f.name, at)
-            setattr(self, k, np.load(at, mmap_mode="r") if a.size else a)
+                    f.flush()
+                    a = np.load(f.name, mmap_mode="r")
+            setattr(self, k, a)
         arcs = np.diff(self.first)
         self.key = np.repeat(np.arange(len(arcs), dtype=np.int64) << 8, arcs) | self.byte  # ascending: by state, then byte
 
