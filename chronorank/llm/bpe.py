@@ -7,6 +7,7 @@ The distinct words of a group of texts that are not yet known go through the aut
 time, and words outside it are merged exactly; texts then gather their words' ids. Null texts count as
 empty; an empty text gives no ids; texts and words of any length are encoded whole (long words are merged with a heap);
 repeated rows and ids are left as they are; an empty table gives no rows; other columns, whatever their names, are ignored."""
+import functools
 import hashlib
 import heapq
 import json
@@ -14,6 +15,7 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -174,6 +176,57 @@ class Lexicon:
         return [out[at[p] : at[p + 1]].tolist() if p >= 0 else None for p in self.places([w.encode("utf-8", "surrogatepass") for w in words]).tolist()]
 
 
+class Coder:
+    """Ids and decoded text of words, as text: through the automaton, or merged; words met before are kept."""
+
+    def __init__(self, model, lexicon):
+        self.model, self.lexicon, self.ids, self.back, self.long, self.gaps = model, lexicon, {}, {}, [], False
+
+    def known(self, texts):
+        """The words of each text, all of them learnt."""
+        words = [self.model.words(t) for t in texts]
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+            self.back.clear()
+        for w in self.long:  # long words are kept for their group only
+            self.ids.pop(w, None)
+            self.back.pop(w, None)
+        new = list(set().union(*words).difference(self.ids))
+        for w, x in zip(new, self.lexicon.find([w if isinstance(w, str) else "" for w in new])):
+            got = [w] if isinstance(w, int) else self.model.merge(w) if x is None else x
+            self.ids[w], self.back[w] = " ".join(map(str, got)), " ".join([self.model.name[i] for i in got])
+            self.gaps |= not got  # a word has no ids, if the vocabulary lacks its bytes
+        self.long = [w for w in new if isinstance(w, str) and len(w) > LONG]
+        return words
+
+    def _joined(self, table, words):
+        got = map(table.__getitem__, words)
+        return " ".join(filter(None, got) if self.gaps else got)
+
+    def digests(self, words):
+        ids = self._joined(self.ids, words)
+        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(self._joined(self.back, words).encode()).hexdigest()
+
+    def texts(self, words):
+        return [int(i) for i in self._joined(self.ids, words).split()], self._joined(self.back, words)
+
+
+_KEPT = {}
+
+
+def kept(key, make):
+    """What make() gives, made once by a worker for the same key; only the last key is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+@functools.lru_cache(maxsize=2)
+def model_of(path):
+    return Model(path)
+
+
 def groups(texts, size=GROUP):
     """Runs of texts (null as empty) of about size characters together."""
     run, n = [], 0
@@ -194,7 +247,7 @@ def frequent(docs, path, n=LEXICON):
     def count(batches):
         import pandas as pd
 
-        m = Model(path)
+        m = model_of(path)
 
         def rows(total):
             return pd.DataFrame([(b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items() if isinstance(w, str)) if len(b) <= LONG], columns=["w", "n"])
@@ -227,33 +280,12 @@ def encode(docs, path, texts=False):
     words = frequent(docs, path)
     model = docs.sparkSession.sparkContext.broadcast(compile_lexicon([w.encode("utf-8", "surrogatepass") for w in words], [m.merge(w) for w in words]))
 
-    def run(batches):
-        m, lexicon, ids, back = Model(path), Lexicon(model.value), {}, {}  # ids and decoded text of the words met so far
-        none = False
-
-        def learn(new):
-            for w, x in zip(new, lexicon.find([w if isinstance(w, str) else "" for w in new])):
-                got = [w] if isinstance(w, int) else m.merge(w) if x is None else x
-                ids[w], back[w] = " ".join(map(str, got)), " ".join([m.name[i] for i in got])
+    key = f"{path} {uuid.uuid4().hex}"
 
+    def run(batches):
+        coder = kept(key, lambda: Coder(model_of(path), Lexicon(model.value)))
         for pdf in batches:
-            rows = []
-            for run_ in groups(pdf["text"]):
-                words = [m.words(t) for t in run_]
-                if len(ids) > CACHE:
-                    ids.clear()
-                    back.clear()
-                new = list(set().union(*words).difference(ids))
-                learn(new)
-                # a word may have no ids, if the vocabulary lacks its bytes
-                join = " ".join if all(ids[w] for w in new) and not none else lambda x: " ".join(filter(None, x))
-                none |= not all(ids[w] for w in new)
-                for ws in words:
-                    a, b = join(map(ids.__getitem__, ws)), join(map(back.__getitem__, ws))
-                    rows.append((a.count(" ") + 1 if a else 0, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest(), *([[int(i) for i in a.split()], b] if texts else [])))
-                for w in new:  # long words are kept for their group only
-                    if isinstance(w, str) and len(w) > LONG:
-                        del ids[w], back[w]
+            rows = [coder.digests(ws) + (coder.texts(ws) if texts else ()) for run_ in groups(pdf["text"]) for ws in coder.known(run_)]
             cols = list(zip(*rows)) if rows else [[]] * (5 if texts else 3)
             out = pdf[["doc_id"]].assign(n_tokens=list(cols[0]), ids_sha256=list(cols[1]), decoded_sha256=list(cols[2]))
             yield out.assign(ids=list(cols[3]), decoded=list(cols[4])) if texts else out
