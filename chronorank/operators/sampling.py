@@ -89,3 +89,35 @@ def templates(edges, queries):
     every = queries.select(F.col("qid").alias("_any"), (F.row_number().over(Window.orderBy("qid")) - 1).alias("_at"))  # one number for each query
     n = queries.count()
     return d.withColumn("_at", draw(max(n, 1), F.col("src"), F.col("ord"))).join(every, "_at", "left").withColumn("tmpl", F.coalesce("tmpl", "_any")).drop("_at", "_any")
+
+
+def distinct_draws(draws, by, item, order, n):
+    """by, item, place: the first n distinct items of each group in the order of its draws. Drawn by weight, this is weighted sampling
+    without replacement; a group whose draws hold fewer distinct items has fewer."""
+    first = draws.groupBy(*by, item).agg(F.min(order).alias("_o"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_o"))).where(F.col("place") <= n).drop("_o")
+
+
+def mixture(positives, items, weight, top, width=100, surplus=4, seed=0):
+    """qid, c, kind: lists of the positive, n_unseen ids of 1 .. top that items lack, and seen items by weight, all distinct.
+
+    positives: qid, dst, n_unseen (null: none). Seen and unseen ids are drawn with surplus and the first distinct ones are kept;
+    the positive is left out of the draws."""
+    spark = positives.sparkSession
+    asks = positives.select("qid", "dst", F.coalesce("n_unseen", F.lit(0)).alias("k"))
+    slots = lambda n: asks.select("qid", F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("j"))
+    seen = by_weight(items, weight, slots(surplus * width), ["qid", "j"], seed=seed)
+    seen = seen.join(asks.select("qid", F.col("dst").alias("item"), F.lit(1).alias("_own")), ["qid", "item"], "left").where("_own is null").drop("_own")
+    seen = distinct_draws(seen, ["qid"], "item", "j", width - 1).join(asks, "qid").where(F.col("place") <= width - 1 - F.col("k")).select("qid", F.col("item").alias("c"), F.lit("seen").alias("kind"))
+    pool = numbered(unseen(spark, items, top), "id", name="_at", unit=65536)
+    size = pool.count()
+    cold = slots(surplus * width).withColumn("_at", draw(max(size, 1), F.col("qid"), F.col("j"), seed=seed + 1)).join(pool, "_at")
+    cold = distinct_draws(cold, ["qid"], "id", "j", width).join(asks, "qid").where(F.col("place") <= F.col("k")).select("qid", F.col("id").alias("c"), F.lit("unseen").alias("kind"))
+    return asks.select("qid", F.col("dst").alias("c"), F.lit("positive").alias("kind")).unionByName(seen).unionByName(cold)
+
+
+def neighbour_negatives(positives, table, history, n, key, seed=0):
+    """positives (src, dst) with neg: n hashed ones of the neighbours (a, b) of the positive that its source has never met."""
+    d = positives.join(table.select(F.col("a").alias("dst"), F.col("b").alias("neg")), "dst")
+    d = d.join(history.select("src", F.col("dst").alias("neg")).distinct(), ["src", "neg"], "left_anti")
+    return d.withColumn("rk", F.row_number().over(Window.partitionBy(*key).orderBy(uniform(*key, "neg", seed=seed), "neg"))).where(F.col("rk") <= n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronorank.functions import hashing, vectors as V
 from chronorank.functions import rows as R
-from chronorank.operators import blend, history, sampling, vectors
+from chronorank.operators import blend, embeddings, graph, history, sampling, vectors
 from chronorank.sources import files, store
 
 WIDTH, DAY = 100, 86400
@@ -642,6 +642,91 @@ def time_order_check(x):
     return history.sorted_by_time(e, "o")
 
 
+# Co-occurrence, walks, mixtures and the fitted graph
+
+COOC = "l as (select src, dst, row_number() over (partition by src order by max(o) desc) as rk from ord group by src, dst), p as (select x.dst as a, y.dst as b, count(*) as n from l x join l y on x.src = y.src and x.dst <> y.dst where x.rk <= 64 and y.rk <= 64 group by x.dst, y.dst having count(*) >= 2), tb as (select a, b, n, row_number() over (partition by a order by n desc, b) as rk from p qualify rk <= 128), tw as (select a, b, n, ln(1 + n) / max(ln(1 + n)) over (partition by a) as w from tb)"
+
+
+@query(f"{LQ}, ord as (select *, row_number() over (partition by src order by t, dst, k1, k2, k3) as o from edges), {COOC}, h as (select src, dst, row_number() over (partition by src order by o desc) as rk from ord qualify rk <= 40), s as (select src, count(*) as n from h group by src), g as (select q.src, q.c, count(*) as k, max(w) as m, sum(w) as t from (select distinct src, c from lq) q join h on h.src = q.src join tw on tw.a = q.c and tw.b = h.dst group by q.src, q.c) select qid, pos, coalesce(k / cast(n as double), 0) as hit_frac, coalesce(m, 0) as max_w, coalesce(g.t / n, 0) as mean_w from lq left join g on lq.src = g.src and lq.c = g.c left join s on lq.src = s.src")
+def neighbour_block(x):
+    e = x.ordered()
+    return graph.neighbour_block(history.last(e, 40), x.asks(), graph.capped(e))
+
+
+def _step(k):
+    i = u("node", "walk", str(k), seed=6)
+    return f"d{k} as (select node, walk, cast(floor({i} * n) as bigint) as i, w{k - 1}.spot as q from w{k - 1} join deg on deg.a = w{k - 1}.spot), w{k} as (select node, walk, adj.b as spot from d{k} join adj on adj.a = d{k}.q and adj.i = d{k}.i)"
+
+
+@query(f"{EDGES}, li as (select distinct -1 - src as a, dst as b from edges), bo as (select a, b from li union select b, a from li), adj as (select a, b, row_number() over (partition by a order by b) - 1 as i from bo), deg as (select a, count(*) as n from bo group by a), w0 as (select distinct -1 - src as node, walk, -1 - src as spot from edges cross join range(2) r(walk)), {', '.join(map(_step, range(1, 5)))} select node, cast(walk as integer) as walk, step, spot from ({' union all '.join(f'select node, walk, {k} as step, spot from w{k}' for k in range(5))}) z")
+def random_walks(x):
+    """Two walks of four steps from each source, over sources (negative) and destinations."""
+    links = x.edges().select((-1 - F.col("src")).alias("a"), F.col("dst").alias("b")).distinct()
+    return graph.walks(links, links.select(F.col("a").alias("node")).distinct(), 4, 2, seed=6).withColumnRenamed("at", "spot")
+
+
+MIX = f"""{EDGES}, n as (select dst as id, count(*) as w from edges group by dst), cu as (select id, w, sum(w) over (order by id) as hi from n), tt as (select sum(w) as total from n), mm as (select max(p_partkey) + 100 as m from part),
+ po as (select src as qid, max(dst) as dst, src % 5 as k from edges group by src),
+ dr as (select qid, j, cast(floor({u('qid', 'j', seed=9)} * total) as bigint) as x from po cross join range(400) r(j) cross join tt), hi as (select d.qid, cu.id as item, min(d.j) as o from dr d join cu on d.x < cu.hi and d.x >= cu.hi - cu.w group by d.qid, cu.id),
+ se as (select hi.qid, item, row_number() over (partition by hi.qid order by o) as place from hi join po on po.qid = hi.qid where item <> po.dst),
+ un as (select i as id, row_number() over (order by i) - 1 as ix from mm, range(1, 1000000) r(i) where i <= m and i not in (select dst from edges)), us as (select count(*) as c from un),
+ dc as (select qid, j, cast(floor({u('qid', 'j', seed=10)} * c) as bigint) as x from po cross join range(400) r(j) cross join us), co as (select qid, id, row_number() over (partition by qid order by min(j)) as place from dc join un on un.ix = dc.x group by qid, id)"""
+
+
+@query(f"{MIX} select qid, dst as c, 'positive' as kind from po union all select se.qid, item, 'seen' from se join po on po.qid = se.qid where place <= 99 - k union all select co.qid, id, 'unseen' from co join po on po.qid = co.qid where place <= k")
+def honest_lists(x):
+    """Lists of a hundred: the positive, some unseen ids, and seen ones by popularity without replacement."""
+    top = x.read("part").agg(F.max("p_partkey")).first()[0] + 100
+    pos = x.edges().groupBy(F.col("src").alias("qid")).agg(F.max("dst").alias("dst")).withColumn("n_unseen", F.col("qid") % 5)
+    return sampling.mixture(pos, x.popularity().withColumnRenamed("dst", "id"), "n", top, seed=9)
+
+
+@query(f"{EDGES}, {EMB}, p as (select a.id as a, b.id as b, {COS.format('a.v', 'b.v')} as s from vecs a join vecs b on a.id <> b.id), nb as (select a, b, row_number() over (partition by a order by round(s, 12) desc, b) as rk from p qualify rk <= 16), po as (select src, max(dst) as dst from edges group by src), c as (select po.src, po.dst, nb.b as neg from po join nb on nb.a = po.dst where not exists (select 1 from edges e where e.src = po.src and e.dst = nb.b)) select src, dst, neg, cast(row_number() over (partition by src order by {u('src', 'neg', seed=12)}, neg) as bigint) as rk from c qualify rk <= 8")
+def neighbour_negatives(x):
+    """Hard negatives: nearest vectors of the positive that the source has never met."""
+    pos = x.edges().groupBy("src").agg(F.max("dst").alias("dst"))
+    d = sampling.neighbour_negatives(pos, vectors.nearest(x.vectors(), 16, 1024), x.edges(), 8, ["src"], seed=12)
+    return d.select("src", "dst", "neg", F.col("rk").cast("long").alias("rk"))
+
+
+FITTED = f"""{LQ}, ord as (select *, row_number() over (partition by src order by t, dst, k1, k2, k3) as o from edges), mx as (select min(t) as tmin, max(t) as tmax, quantile_cont(t, 0.6) as c60, quantile_cont(t, 0.82) as c82 from edges),
+ ds as (select dst, count(*) as n, count(*) filter (t >= c82) as late, count(*) filter (t >= c60 and t < c82) as mid, count(*) filter (t < c60) as old, count(*) filter (t >= tmax - 10800) as n3, count(*) filter (t >= tmax - 43200) as n12, max(t) as last from edges cross join mx group by dst),
+ pr as (select src, dst, count(*) as pn from edges group by src, dst), so as (select src, count(*) as sn from edges group by src), te as (select c, count(*) as tn from lq group by c),
+ rc as (select src, dst, row_number() over (partition by src order by o desc) as rk from ord), ex as (select src, dst, min(rk) as er from rc where rk <= 160 group by src, dst),
+ sm as (select a.dst as a, b.dst as b, sum(1 / sqrt(b.o - a.o)) as w from ord a join ord b on a.src = b.src and b.o > a.o and b.o <= a.o + 16 and a.dst <> b.dst group by a.dst, b.dst), st as (select a, b, w, row_number() over (partition by a order by round(w, 6) desc, b) as k from sm qualify k <= 256),
+ fw as (select src, b as c, sum(w / sqrt(rk)) as f from rc join st on st.a = rc.dst where rk <= 16 group by src, b), bw as (select src, a as c, sum(w / sqrt(rk)) as f from rc join st on st.b = rc.dst where rk <= 16 group by src, a),
+ tp as (select greatest(ln(1 + max(n)), 1) as tn_, greatest(ln(1 + max(late)), 1) as tl, greatest(ln(1 + max(n3)), 1) as t3, greatest(ln(1 + max(n12)), 1) as t12 from ds), tq as (select greatest(ln(1 + max(pn)), 1) as tpn from pr), tr as (select greatest(ln(1 + max(sn)), 1) as tsn from so), tu as (select greatest(ln(1 + max(tn)), 1) as ttn from te)"""
+
+
+@query(f"""{FITTED} select qid, pos, ln(1 + coalesce(n, 0)) / tn_ as pop, ln(1 + coalesce(late, 0)) / tl as recent_pop, greatest(-5, least(5, ln(1 + coalesce(late, 0)) - ln(1 + coalesce(mid, 0) + 0.25e0 * coalesce(old, 0)))) / 5 as trend, case when last is null then 0 else 1 / (1 + greatest(t - last, 0) / cast(greatest(tmax - tmin, 1) as double)) end as recency,
+ coalesce(1 / sqrt(er), 0) as src_recent_exact, ln(1 + coalesce(pn, 0)) / tpn as pair_log, case when n is null then 0 else 1 end as dst_known, least(ln(1 + coalesce(n, 0)) / tn_, 0.72e0) as degree_cap, ln(1 + coalesce(tn, 0)) / ttn as candidate_seen_in_test, ln(1 + coalesce(n3, 0)) / t3 as pop_3h, ln(1 + coalesce(n12, 0)) / t12 as pop_12h,
+ greatest(-5, least(5, ln(1 + coalesce(n3, 0)) - ln(1 + coalesce(n12, 0) / 4e0))) / 5 as trend_3h_12h, coalesce(fw.f, 0) as transition, coalesce(fw.f, 0) + coalesce(bw.f, 0) as symmetric_cooc, ln(1 + coalesce(sn, 0)) / tsn as source_activity
+ from lq left join ds on lq.c = ds.dst left join pr on pr.src = lq.src and pr.dst = lq.c left join so on so.src = lq.src left join te on te.c = lq.c left join ex on ex.src = lq.src and ex.dst = lq.c left join fw on fw.src = lq.src and fw.c = lq.c left join bw on bw.src = lq.src and bw.c = lq.c cross join mx cross join tp cross join tq cross join tr cross join tu""")
+def fitted_features(x):
+    """Base features of the wide candidates from a fitted graph that was saved and loaded."""
+    at = store.folder(x.spark)
+    graph.TemporalGraph.fit(x.ordered(), x.asks()).save(at)
+    return graph.TemporalGraph.load(x.spark, at).features(x.asks())
+
+
+
+@query()
+def svd_values(x):
+    """The eight largest singular values of the time-weighted matrix of sources and destinations."""
+    s, _, _ = embeddings.svd(embeddings.weights(x.edges()), 8)
+    return x.spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(s)], "i long, value double")
+
+
+@query()
+def skip_gram_vectors(x):
+    return embeddings.skip_grams(x.ordered(), 16)
+
+
+@query(f"{EDGES}, sp as (select min(t) as a, greatest(max(t) - min(t), 1) as s from edges) select src, dst, ln(1 + sum(1 + 2.8e0 * (t - a) / s)) as v from edges cross join sp group by src, dst")
+def time_weights(x):
+    return embeddings.weights(x.edges())
+
+
 def queries():
     return dict(QUERIES)
 
