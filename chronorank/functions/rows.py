@@ -13,28 +13,28 @@ def _std(a, mean):
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean), lambda s: s / F.size(a)))
 
 
-def _with(value, use):
-    """use(x) with x bound to value once."""
+def bound(value, use):
+    """use(x) with x bound to value, which is so computed once, not once for each element."""
     return F.transform(F.array(value), use)[0]
 
 
 def zscore(a, floor=1e-6, replace=True):
     """(x - mean) / std; a std below floor counts as 1 (replace) or as floor."""
     scaled = lambda m, s: F.transform(a, lambda x: (x - m) / (F.when(s >= floor, s).otherwise(1.0) if replace else F.greatest(s, F.lit(floor))))
-    return _with(_mean(a), lambda m: _with(_std(a, m), lambda s: scaled(m, s)))
+    return bound(_mean(a), lambda m: bound(_std(a, m), lambda s: scaled(m, s)))
 
 
 def softmax(a, temperature=1.0):
     """Shares of exp(x / temperature), shifted by the largest; the temperature is 1e-6 at least, sums 1e-12."""
     t = max(temperature, 1e-6)
-    e = _with(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp((x - top) / t)))
-    return _with(e, lambda v: _with(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(v, lambda x: x / F.greatest(s, F.lit(1e-12)))))
+    e = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp((x - top) / t)))
+    return bound(e, lambda v: bound(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda s: F.transform(v, lambda x: x / F.greatest(s, F.lit(1e-12)))))
 
 
 def minmax(a, low=0.01, span=0.99, flat=0.5):
     """low .. low + span by the row's smallest and largest; flat where they are equal."""
     lo, hi = F.array_min(a), F.array_max(a)
-    return _with(lo, lambda x0: _with(hi, lambda x1: F.transform(a, lambda x: F.when(x1 == x0, flat).otherwise(low + span * (x - x0) / (x1 - x0)))))
+    return bound(lo, lambda x0: bound(hi, lambda x1: F.transform(a, lambda x: F.when(x1 == x0, flat).otherwise(low + span * (x - x0) / (x1 - x0)))))
 
 
 def _ranked(keys, rank):
@@ -75,9 +75,9 @@ def probabilities(p, places=8):
     """Clipped to 0..1, divided by their sum (all alike if that is not positive), rounded; what is missing to 1 goes to the first largest."""
     clipped = F.transform(p, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    share = _with(clipped, lambda v: _with(total(v), lambda s: F.transform(v, lambda x: F.round(F.when(s > 0, x / s).otherwise(1.0 / F.size(p)), places))))
+    share = bound(clipped, lambda v: bound(total(v), lambda s: F.transform(v, lambda x: F.round(F.when(s > 0, x / s).otherwise(1.0 / F.size(p)), places))))
     fixed = lambda v: F.transform(v, lambda x, i: F.when(i == first_best(v), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + (1.0 - total(v)))), places)).otherwise(x))
-    return _with(share, fixed)
+    return bound(share, fixed)
 
 
 def line(a, fmt="%.8f"):
@@ -92,4 +92,4 @@ def pearson(a, b):
         cov = F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.size(a)
         return F.when((_std(a, ma) > 1e-9) & (_std(b, mb) > 1e-9), cov / _std(a, ma) / _std(b, mb))
 
-    return _with(_mean(a), lambda ma: _with(_mean(b), lambda mb: of(ma, mb)))
+    return bound(_mean(a), lambda ma: bound(_mean(b), lambda mb: of(ma, mb)))

@@ -33,23 +33,21 @@ def calibrated(score, profile, w):
     return weighted([(R.zscore(score), 1.0), (R.zscore(profile), w)])
 
 
-def greater(s, label):
-    """How many candidates score above the positive, and how many others as high (within 1e-12)."""
-    own = F.element_at(s, label.cast("int") + 1)
-    above = F.size(F.filter(s, lambda x: x > own + 1e-12))
-    equal = F.size(F.filter(s, lambda x: F.abs(x - own) <= 1e-12)) - 1
-    return above.cast("double"), equal.cast("double")
+def placed(s, label, use):
+    """use(above, equal): how many candidates score above the positive, and how many others as high (within 1e-12)."""
+    above = lambda v, own: F.size(F.filter(v, lambda x: x > own + 1e-12)).cast("double")
+    equal = lambda v, own: (F.size(F.filter(v, lambda x: F.abs(x - own) <= 1e-12)) - 1).cast("double")
+    return R.bound(s, lambda v: R.bound(F.element_at(v, label.cast("int") + 1), lambda own: use(above(v, own), equal(v, own))))
 
 
 def reciprocal(s, label, ties="half"):
     """Reciprocal rank of the positive: ties count half, all (pessimistic) or not (strict)."""
-    above, equal = greater(s, label)
-    return 1.0 / (1.0 + above + {"half": 0.5, "pessimistic": 1.0, "strict": 0.0}[ties] * equal)
+    return placed(s, label, lambda above, equal: 1.0 / (1.0 + above + {"half": 0.5, "pessimistic": 1.0, "strict": 0.0}[ties] * equal))
 
 
 def strict(rows, s, label):
     """One row: strict MRR, Hit@1, Hit@10 and the median rank."""
-    above, _ = greater(F.col(s), F.col(label))
+    rows, above = rows.select(placed(F.col(s), F.col(label), lambda above, _: above).alias("_above")), F.col("_above")
     hit = lambda k: F.avg(F.when(above < k, 1.0).otherwise(0.0)).alias(f"hit{k}")
     return rows.agg(F.avg(1.0 / (1.0 + above)).alias("mrr"), hit(1), hit(10), F.median(above + 1.0).alias("median_rank"))
 
@@ -95,7 +93,8 @@ def descend(rows, features, label, start, rounds=3):
 def compared(rows, a, b):
     """One row: top-1 agreement, mean top-3 Jaccard, mean row correlation, mean absolute difference, and whether both pass."""
     top = lambda s: F.transform(F.slice(F.array_sort(F.transform(s, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, 3), lambda y: y["i"])
-    ta, tb = top(F.col(a)), top(F.col(b))
+    rows = rows.withColumns({"_ta": top(F.col(a)), "_tb": top(F.col(b))})
+    ta, tb = F.col("_ta"), F.col("_tb")
     jac = F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
     mad = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
     out = rows.agg(F.avg(F.when(R.first_best(F.col(a)) == R.first_best(F.col(b)), 1.0).otherwise(0.0)).alias("top1"), F.avg(jac).alias("jaccard"), F.avg(R.pearson(F.col(a), F.col(b))).alias("pearson"), F.avg(mad).alias("mad"))
