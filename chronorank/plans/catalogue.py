@@ -55,10 +55,10 @@ APART = {
     "recency_block": f"""{CAND}, ev as (select cand.qid, cand.pos, cand.t, count(e.t) filter (e.t >= greatest(cand.t - 604800, 0)) as n7, count(e.t) filter (e.t >= greatest(cand.t - 2592000, 0)) as n30, max(e.t) as ld from cand left join edges e on e.dst = cand.c and e.t > 0 and e.t < cand.t group by cand.qid, cand.pos, cand.t),
  lp as (select cand.qid, cand.pos, max(e.t) as lp from cand join edges e on e.src = cand.src and e.dst = cand.c and e.t > 0 and e.t < cand.t group by cand.qid, cand.pos), ls as (select qq.qid, max(e.t) as ls from qq join edges e on e.src = qq.src and e.t > 0 and e.t < qq.t group by qq.qid)
  select ev.qid, ev.pos, ln(1 + n30) as cnt30, ln(1 + n7) as cnt7, ln(1.5e0 + n7) - ln(1.5e0 + n30) as burst, ln(1 + coalesce(t - ld + 1, 1e10)) as gap_dst, ln(1 + coalesce(t - lp + 1, 1e10)) as gap_pair, ln(1 + coalesce(t - ls + 1, 1e10)) as gap_src from ev left join lp on ev.qid = lp.qid and ev.pos = lp.pos left join ls on ev.qid = ls.qid""",
-    "window_counts_7d_30d": "select a.dst, a.k1, a.k2, a.k3, a.src, a.t, count(b.t) filter (b.t >= a.t - 604800) as n7, count(b.t) as n30 from edges a left join edges b on b.dst = a.dst and b.t < a.t and b.t >= a.t - 2592000 group by a.dst, a.k1, a.k2, a.k3, a.src, a.t",
-    "recency_pair_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, max(b.t) as prev_t from edges a left join edges b on b.src = a.src and b.dst = a.dst and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
-    "recency_dst_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from edges a left join edges b on b.dst = a.dst and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
-    "recency_src_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from edges a left join edges b on b.src = a.src and b.t < a.t group by a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "window_counts_7d_30d": "select a.dst, a.k1, a.k2, a.k3, a.src, a.t, count(b.t) filter (b.t >= a.t - 604800) as n7, count(b.t) as n30 from (select *, row_number() over () as rid from edges) a left join edges b on b.dst = a.dst and b.t < a.t and b.t >= a.t - 2592000 group by a.rid, a.dst, a.k1, a.k2, a.k3, a.src, a.t",
+    "recency_pair_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, max(b.t) as prev_t from (select *, row_number() over () as rid from edges) a left join edges b on b.src = a.src and b.dst = a.dst and b.t < a.t group by a.rid, a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "recency_dst_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from (select *, row_number() over () as rid from edges) a left join edges b on b.dst = a.dst and b.t < a.t group by a.rid, a.src, a.dst, a.k1, a.k2, a.k3, a.t",
+    "recency_src_asof": "select a.src, a.dst, a.k1, a.k2, a.k3, a.t, round(ln(1 + coalesce(a.t - max(b.t) + 1, 10000000000)), 6) as gap from (select *, row_number() over () as rid from edges) a left join edges b on b.src = a.src and b.t < a.t group by a.rid, a.src, a.dst, a.k1, a.k2, a.k3, a.t",
     "rank_competition": f"{CAND} select a.qid, a.pos, round(1e0 / (1 + count(b.s)), 6) as r from sc a left join sc b on a.qid = b.qid and b.s > a.s group by a.qid, a.pos",
     "rank_percentile_col": f"{CAND} select a.qid, a.pos, round(count(*) / 10e0, 6) as r from sc a join sc b on a.qid = b.qid and (b.s < a.s or b.s = a.s and b.pos <= a.pos) group by a.qid, a.pos",
     "src_recent_exact": f"{ORD}, l as (select src, max(o) as n from ord group by src), m as (select src, dst, max(o) as o from ord group by src, dst) select m.src, dst, round(1 / sqrt(n - o + 1), 6) as w from m join l on m.src = l.src where n - o < 160",

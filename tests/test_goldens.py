@@ -1,12 +1,12 @@
 """Hand-computed cases, through Spark."""
-from math import log1p
+from math import log1p, sqrt
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronorank.functions import hashing
 from chronorank.functions import rows as R
-from chronorank.operators import blend, history, sampling, vectors
+from chronorank.operators import blend, graph, history, sampling, vectors
 from chronorank.sources import files
 from chronorank.streaming import state
 
@@ -125,3 +125,33 @@ def test_nearest_ties(spark):
 def test_time_order(spark):
     d = spark.createDataFrame([(0, 5), (1, 6), (2, 4), (65536, 3), (65537, 9)], "o long, t long")
     assert tuple(history.sorted_by_time(d, "o").first()) == (2, 2)
+
+
+def test_capped_cooccurrence(spark):
+    """Sources 1: [1, 2, 3], 2: [1, 2], 3: [1, 4], 4: [1, 2, 1]: only (1, 2) and (2, 1) stand in two sources, with three."""
+    rows = [(s, d, t) for s, ds in {1: [1, 2, 3], 2: [1, 2], 3: [1, 4], 4: [1, 2, 1]}.items() for t, d in enumerate(ds, 1)]
+    e = history.ordered(spark.createDataFrame(rows, "src long, dst long, t long"))
+    table = graph.capped(e)
+    assert sorted((r.a, r.b, r.n, r.w) for r in table.collect()) == [(1, 2, 3, 1.0), (2, 1, 3, 1.0)]
+    asks = spark.createDataFrame([(1, 0, 4, 1), (1, 1, 4, 9), (2, 0, 7, 1)], "qid long, pos int, src long, c long")
+    got = {(r.qid, r.pos): (r.hit_frac, r.max_w, r.mean_w) for r in graph.neighbour_block(history.last(e, 40), asks, table).collect()}
+    assert got == {(1, 0): (1 / 3, 1.0, 1 / 3), (1, 1): (0.0, 0.0, 0.0), (2, 0): (0.0, 0.0, 0.0)}  # one of three past items is 2
+
+
+def test_history_cosines(spark):
+    e = history.ordered(spark.createDataFrame([(1, 10, 1), (1, 20, 2), (2, 10, 3), (2, 20, 4), (3, 10, 5), (1, 30, 6)], "src long, dst long, t long"))
+    v = spark.createDataFrame([(10, [1.0, 0.0, 0.0, 0.0]), (20, [1.0, 1.0, 0.0, 0.0]), (30, [0.0, 1.0, 0.0, 0.0]), (99, [0.0, 0.0, 1.0, 0.0])], "id long, vec array<double>")
+    asks = spark.createDataFrame([(1, 0, 1, 20), (1, 1, 1, 30), (1, 2, 1, 99), (2, 0, 2, 10), (7, 0, 7, 10)], "qid long, pos int, src long, c long")
+    got = {(r.qid, r.pos): (r.seq_max, r.seq_top) for r in vectors.history_cosines(history.last(e, 20), asks, v).collect()}
+    want = {(1, 0): (1, (1 + 2 / sqrt(2)) / 3), (1, 1): (1, (1 + 1 / sqrt(2)) / 3), (1, 2): (0, 0), (2, 0): (1, (1 + 1 / sqrt(2)) / 2), (7, 0): (0, 0)}
+    assert got.keys() == want.keys() and all(near(x, y) for k in want for x, y in zip(got[k], want[k]))
+
+
+def test_edge_counts(spark):
+    """Pairs (1, 5) four times, (2, 6) five, (3, 7) six: scaled by the logs of the largest; an absent pair is zero."""
+    rows = [(s, d, i) for (s, d), n in {(1, 5): 4, (2, 6): 5, (3, 7): 6}.items() for i in range(1, n + 1)]
+    e = history.ordered(spark.createDataFrame(rows, "src long, dst long, t long"))
+    asks = spark.createDataFrame([(1, 0, 1, 5, 9), (2, 0, 2, 6, 9), (3, 0, 3, 7, 9), (3, 1, 3, 5, 9)], "qid long, pos int, src long, c long, t long")
+    got = {(r.qid, r.pos): r for r in graph.TemporalGraph.fit(e).features(asks).collect()}
+    assert [near(got[k].pair_log, v) for k, v in {(1, 0): log1p(4) / log1p(6), (2, 0): log1p(5) / log1p(6), (3, 0): 1.0, (3, 1): 0.0}.items()] == [True] * 4
+    assert got[3, 1].dst_known == 1 and got[3, 1].src_recent_exact == 0 and got[3, 0].src_recent_exact == 1 and got[1, 0].candidate_seen_in_test == 0
