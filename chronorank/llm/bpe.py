@@ -15,7 +15,6 @@ import os
 import re
 import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -211,18 +210,7 @@ class Coder:
         return [int(i) for i in self._joined(self.ids, words).split()], self._joined(self.back, words)
 
 
-_KEPT = {}
-
-
-def kept(key, make):
-    """What make() gives, made once by a worker for the same key; only the last key is kept."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def model_of(path):
     return Model(path)
 
@@ -280,10 +268,8 @@ def encode(docs, path, texts=False):
     words = frequent(docs, path)
     model = docs.sparkSession.sparkContext.broadcast(compile_lexicon([w.encode("utf-8", "surrogatepass") for w in words], [m.merge(w) for w in words]))
 
-    key = f"{path} {uuid.uuid4().hex}"
-
     def run(batches):
-        coder = kept(key, lambda: Coder(model_of(path), Lexicon(model.value)))
+        coder = Coder(model_of(path), Lexicon(model.value))  # goes with the task: a worker that lives on holds no words
         for pdf in batches:
             rows = [coder.digests(ws) + (coder.texts(ws) if texts else ()) for run_ in groups(pdf["text"]) for ws in coder.known(run_)]
             cols = list(zip(*rows)) if rows else [[]] * (5 if texts else 3)
