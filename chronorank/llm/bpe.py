@@ -20,7 +20,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronorank.llm.shared import settled
+from chronorank.llm.shared import pieces, settled, trimmed
 
 LEXICON, CACHE, GROUP, LONG, SHORT = 1 << 18, 3 << 17, 1 << 20, 64, 24
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -233,25 +233,23 @@ def frequent(docs, path, n=LEXICON):
     at least) that no more than n words reach, so that no more than n words reach the driver."""
 
     def count(batches):
-        import pandas as pd
-
         m = model_of(path)
 
         def rows(total):
-            return pd.DataFrame([(b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items() if isinstance(w, str)) if len(b) <= LONG], columns=["w", "n"])
+            return pieces(((b, k) for b, k in ((w.encode("utf-8", "surrogatepass"), k) for w, k in total.items() if isinstance(w, str)) if len(b) <= LONG), ["w", "n"])
 
         total = Counter()
         for pdf in batches:
             for t in pdf["text"]:
                 total.update(m.words(t))
                 if len(total) > CACHE:
-                    yield rows(total)
+                    yield from rows(total)
                     total = Counter()
         if total:
-            yield rows(total)
+            yield from rows(total)
 
     step = F.floor(F.log2("n") * 8).cast("int")
-    words = docs.where("text is not null").select("text").mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    words = docs.where("text is not null").select("text").mapInPandas(trimmed(count), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
     words = settled(words.withColumn("step", step))
     held, least = 0, 1 << 30
     for s, k in sorted(((r[0], r[1]) for r in words.groupBy("step").count().collect()), reverse=True):
@@ -277,5 +275,5 @@ def encode(docs, path, texts=False):
             yield out.assign(ids=list(cols[3]), decoded=list(cols[4])) if texts else out
 
     more = ", ids array<int>, decoded string" if texts else ""
-    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, f"doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(trimmed(run), f"doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -17,7 +17,7 @@ texts are read whole; other columns are ignored."""
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronorank.llm.shared import components, settled, small
+from chronorank.llm.shared import components, settled, small, trimmed
 
 WORDS, SEEDS, RATIO, SLACK, BITS, SALTS, BLOCK = 5, 4, 1.5, 0.25, 1024, 64, 2048
 WIDE, WIDE_FROM = 16384, 1200  # longer sketches of larger sets
@@ -159,7 +159,7 @@ def _verify(pairs, texts, sets):
     pairs = settled(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")))
     own = pairs.select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("turn")).distinct()
     rows = small(own.union(pairs.select("a", "salt", "b", F.lit(1)))).join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "turn", "b", "text")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").select("a", "salt", "b", "text").mapInPandas(_linked, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").select("a", "salt", "b", "text").mapInPandas(trimmed(_linked), "a long, b long")
 
 
 def _apart(held, comp, sketches):
@@ -178,7 +178,7 @@ def _apart(held, comp, sketches):
 def join(docs):
     """doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = texts.select(F.col("doc_id").cast("string"), "text").mapInPandas(_sets, "doc_id string, n long, a long, b long, sketch array<long>, wide array<long>")
+    sets = texts.select(F.col("doc_id").cast("string"), "text").mapInPandas(trimmed(_sets), "doc_id string, n long, a long, b long, sketch array<long>, wide array<long>")
     sets = settled(sets.withColumn("doc_id", F.col("doc_id").cast("long")))
     sizes, texts = sets.select("doc_id", "n"), texts.where("doc_id is not null")
     none = sizes.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
@@ -186,14 +186,14 @@ def join(docs):
     twice = own.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if twice:
         texts = settled(texts.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text")).alias("x")).select("doc_id", "x.text"))
-        own = settled(texts.mapInPandas(_sets, "doc_id long, n long, a long, b long, sketch array<long>, wide array<long>"))
+        own = settled(texts.mapInPandas(trimmed(_sets), "doc_id long, n long, a long, b long, sketch array<long>, wide array<long>"))
     classes = own.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
     # classes are salted for the copies' way to them: a class may hold a third of all rows
     salts = 16
     member = own.drop("sketch", "wide").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(classes.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["n", "a", "b", "salt"], "left")
     member = settled(member.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     one = texts.join(small(member.where("doc_id <> rep or n < 4").select("doc_id")), "doc_id", "left_anti")
-    held = buckets(one.mapInPandas(_parts, "s long, rep long, code long"))
+    held = buckets(one.mapInPandas(trimmed(_parts), "s long, rep long, code long"))
     sketches = own.join(small(held.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sketches = settled(sketches.select("doc_id", "n", "sketch", "wide"))
     near = settled(_verify(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), one, sketches))

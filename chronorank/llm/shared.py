@@ -1,4 +1,5 @@
-"""What several operators need: settled tables, checked broadcasts, connected components."""
+"""What several operators need: settled tables, checked broadcasts, connected components, workers that give memory back."""
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -38,6 +39,59 @@ def small(df, rows=BROADCAST_ROWS):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def trimmed(run):
+    """run, a function of batches: its worker, which lives on beside those of later stages, gives free memory back as the task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return whole
+
+
+def merged(batches, size=4096):
+    """The frames of batches put together to about so many rows."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= size:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def short_batches(spark, rows=1000, size=4 << 20):
+    """Sends texts to Python in batches of at most so many rows and bytes: both sides, and the JVM's pool of buffers, hold whole batches."""
+    for key, n in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= n:
+            spark.conf.set(key, str(n))
+
+
+def pieces(rows, columns, size=1 << 15):
+    """Frames of at most so many rows of an iterable of tuples: none holds all of them."""
+    import itertools
+
+    import pandas as pd
+
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(some, columns=columns)
+
+
 def components(links):
     """node, component (its smallest node) for links (a, b), by alternating large and small stars."""
     edges = settled(links.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())

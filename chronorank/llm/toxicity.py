@@ -20,10 +20,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronorank.llm.shared import settled
+from chronorank.llm.shared import merged, pieces, settled, trimmed
 
-# Bounds: labelled rows for telling words, texts for the classifier, telling words, kept pieces of a worker and their length.
-SAMPLE, FIT, TELLING, CACHE, LONG = 20_000, 50_000, 512, 1 << 17, 64
+# Bounds: labelled rows for telling words, texts for the classifier, telling words, kept pieces of a worker and their length, texts in a matrix of votes.
+SAMPLE, FIT, TELLING, CACHE, LONG, ROWS = 20_000, 50_000, 512, 1 << 17, 64, 4096
 # A telling part stands in LEAST toxic texts (divided by how many share the commonest word before or after it: words of copied
 # texts and passages tell nothing), in LIFT times as large a share of them as of the clean ones, with a likelihood ratio that chance reaches about once among all such parts, and with
 # MORE of that ratio beside others on its words.
@@ -270,8 +270,6 @@ def linear(votes, w, b):
 
 def _telling(docs, labels):
     """(words that vote, share of toxic rows, labelled sample)."""
-    import pandas as pd
-
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(f"doc_id is not null and y is not null and not {HELD}")
     ids = ids.groupBy("doc_id").agg(F.max(F.expr("int(y > 0)")).alias("y"))
     ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(ids.count(), 1))))
@@ -288,10 +286,9 @@ def _telling(docs, labels):
             for pdf in batches:
                 for t in pdf["text"]:
                     seen.update(x for x in reached(t, read) if only is None or x in only)
-            if seen:
-                yield pd.DataFrame([(p, k, n) for (p, k), n in seen.items()], columns=["p", "least", "n"])
+            yield from pieces(((p, k, n) for (p, k), n in seen.items()), ["p", "least", "n"])
 
-        return df.select("text").mapInPandas(run, "p string, least int, n long").groupBy("p", "least").agg(F.sum("n").alias("n"))
+        return df.select("text").mapInPandas(trimmed(run), "p string, least int, n long").groupBy("p", "least").agg(F.sum("n").alias("n"))
 
     own = [(w, 1) for w in INSULTS]
     local = lambda df: dict(zip(zip(*(x[c].to_pylist() for c in ("p", "least"))), x["n"].to_pylist())) if (x := df.toArrow()).num_rows else {}
@@ -306,9 +303,9 @@ def _telling(docs, labels):
 
     def stand(batches):
         for pdf in batches:
-            yield pd.DataFrame([x for t in pdf["text"] for x in places(t, wanted)], columns=["p", "before", "after"])
+            yield from pieces((x for t in pdf["text"] for x in places(t, wanted)), ["p", "before", "after"])
 
-    at = settled(rows.where("y = 1").select("text").mapInPandas(stand, "p string, before string, after string"))
+    at = settled(rows.where("y = 1").select("text").mapInPandas(trimmed(stand), "p string, before string, after string"))
     top = [at.groupBy("p", c).agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.max("n").alias(c)) for c in ("before", "after")]
     spread = top[0].join(top[1].drop("n"), "p").select("p", (F.col("n") / F.greatest("before", "after")).alias("x")).toArrow()
     spread = dict(zip(spread["p"].to_pylist(), spread["x"].to_pylist()))
@@ -330,18 +327,18 @@ def score(docs, labels):
             yield pdf[["doc_id", "held_out", "copy"]].assign(votes=[voters.votes(t if isinstance(t, str) else "") for t in pdf["text"]])
 
     # ids go to Python as text: beside nulls they would become floats
-    votes = docs.select(F.col("doc_id").cast("string"), F.expr(HELD).alias("held_out"), F.xxhash64("text").alias("copy"), "text").mapInPandas(vote, "doc_id string, held_out boolean, copy long, votes array<int>")
+    votes = docs.select(F.col("doc_id").cast("string"), F.expr(HELD).alias("held_out"), F.xxhash64("text").alias("copy"), "text").mapInPandas(trimmed(vote), "doc_id string, held_out boolean, copy long, votes array<int>")
     votes = settled(votes.withColumn("doc_id", F.col("doc_id").cast("long")))
     learn = settled(votes.where("not held_out").dropDuplicates(["copy"]).drop("held_out", "copy"))  # copies of a text count once
     kinds = settled(learn.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
 
     def gather(base, delta, pairs):
         def run(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), 4096):
-                    yield pd.DataFrame(sums(pdf["votes"][at : at + 4096], pdf["n"][at : at + 4096], base, delta, pairs), columns=["i", "j", "c", "s"])
+            for pdf in merged(batches, ROWS):
+                for at in range(0, len(pdf), ROWS):
+                    yield pd.DataFrame(sums(pdf["votes"][at : at + ROWS], pdf["n"][at : at + ROWS], base, delta, pairs), columns=["i", "j", "c", "s"])
 
-        rows = kinds.mapInPandas(run, "i int, j int, c int, s double").groupBy("i", "j", "c").agg(F.round(F.sum("s"), 6).alias("s"))
+        rows = kinds.mapInPandas(trimmed(run), "i int, j int, c int, s double").groupBy("i", "j", "c").agg(F.round(F.sum("s"), 6).alias("s"))
         rows = rows.where(F.expr(f"j < 0 or s >= {LEAST}")).toArrow()  # bounded by voters (twice: their pairs) and components
         return added(zip(*(rows[c].to_pylist() for c in ("i", "j", "c", "s"))), m, len(base))
 
@@ -360,8 +357,8 @@ def score(docs, labels):
 
     def run(batches):
         for pdf in batches:
-            s = linear(pdf["votes"], w, b)
+            s = np.concatenate([linear(pdf["votes"][at : at + ROWS], w, b) for at in range(0, len(pdf), ROWS)] or [np.zeros(0)])
             yield pdf[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.7).astype("int32"))
 
-    out = votes.select(F.col("doc_id").cast("string"), "held_out", "votes").mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+    out = votes.select(F.col("doc_id").cast("string"), "held_out", "votes").mapInPandas(trimmed(run), "doc_id string, held_out boolean, score double, predicted int")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
