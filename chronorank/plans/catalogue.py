@@ -43,9 +43,10 @@ PLANS = {
 }
 
 
-from chronorank.plans import blocks, lean  # noqa: E402  (its plans build on the names above)
+from chronorank.plans import blocks, lean, slots  # noqa: E402  (its plans build on the names above)
 
 PLANS |= blocks.plans(CAND, ORD)
+LEAN = lean.QUERIES | slots.QUERIES
 
 
 CAND_ROWS = re.search(r"cand as \(.*? cross join top\)", CAND)[0]
@@ -88,7 +89,7 @@ def ask(spark, sf_dir: str, name: str):
     if len(re.findall(r"\bedges\b", rest)) < 2:
         return run(spark, sf_dir, f"with {edges}{rest}")
     known = {"edges": store.settled(run(spark, sf_dir, f"with {edges} select * from edges"))}
-    if name in lean.QUERIES and (rows := lean.QUERIES[name](known["edges"])) is not None:
+    if name in LEAN and (rows := LEAN[name](known["edges"])) is not None:
         return rows
     if CAND_ROWS in rest:
         known["cand"] = store.settled(spark.sql(f"with edges as (select * from {{edges}}), {CAND[: CAND.index(CAND_ROWS)]}{CAND_ROWS} select * from cand", edges=known["edges"]))
