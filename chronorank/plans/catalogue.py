@@ -43,10 +43,10 @@ PLANS = {
 }
 
 
-from chronorank.plans import blocks, dealt, lean, slots  # noqa: E402  (its plans build on the names above)
+from chronorank.plans import blocks, dealt, lean, probed, slots  # noqa: E402  (its plans build on the names above)
 
 PLANS |= blocks.plans(CAND, ORD)
-LEAN = lean.QUERIES | slots.QUERIES | dealt.QUERIES
+LEAN = lean.QUERIES | slots.QUERIES | dealt.QUERIES | probed.QUERIES
 
 
 CAND_ROWS = re.search(r"cand as \(.*? cross join top\)", CAND)[0]
